@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets, urlfilter
+from . import decontaminate, jaccard, mixing, quality, secrets, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         urlfilter.op3_url_filters,
         decontaminate.op4_decontamination,
         quality.op5_quality_rules,
+        jaccard.op8_ngram_jaccard,
         secrets.op9_secret_scans,
     )
 }
