@@ -126,12 +126,11 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return clauses
 
 
-def candidates(text: Column, rules: tuple[Rule, ...] = RULES) -> tuple[Column, list[Column]]:
-    """The document's slice of the postings, and per rule whether its query holds there (given the slice as column ``_post``)."""
+def candidates(rules: tuple[Rule, ...] = RULES) -> tuple[Column, list[Column]]:
+    """The document's slice of the postings, from its folded text ``_low``, and per rule whether its query holds there, from the slice ``_post``."""
     queries = [trigram_query(r.pattern) for r in rules]
     named = sorted({t for q in queries for c in q for alt in c for t in alt})
-    folded = common.ascii_lower(text)
-    post = F.filter(F.array(*map(F.lit, named)), lambda t: F.contains(folded, t)) if named else F.array().cast("array<string>")
+    post = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), t) for t in named])) if named else F.array().cast("array<string>")
     holds = []
     for q in queries:
         ok = F.lit(True)
@@ -170,15 +169,15 @@ def _spans(text: Column, rule: Rule, at: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` plus ``_spans``: array of (s, k, e), by start, then rule."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    post, holds = candidates(text, rules)
-    out = docs.withColumn("_post", post)
+    post, holds = candidates(rules)
+    out = docs.withColumn("_low", common.ascii_lower(text)).withColumn("_post", post)
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     parts = []
     for k, (rule, ok) in enumerate(zip(rules, holds, strict=True)):
         name = f"_s{k}"
         out = out.withColumn(name, F.when(ok & F.rlike(text, F.lit(rule.pattern)), _spans(text, rule, k)).otherwise(none))
         parts.append(F.col(name))
-    return out.withColumn("_spans", F.sort_array(F.concat(*parts))).drop("_post", *[f"_s{k}" for k in range(len(rules))])
+    return out.withColumn("_spans", F.sort_array(F.concat(*parts))).drop("_low", "_post", *[f"_s{k}" for k in range(len(rules))])
 
 
 def _digest(spans: Column, rules: tuple[Rule, ...]) -> Column:
