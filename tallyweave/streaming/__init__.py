@@ -1,0 +1 @@
+"""Rules over streams."""
