@@ -4,32 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  for the operators
+
 #: Rows of at most a few dozen bytes that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 250_000
 
 _own: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, through Spark's own file distribution."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="tallyweave-")) / "tallyweave.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for f in sorted(top.rglob("*.py")):
-            out.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
