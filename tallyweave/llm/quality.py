@@ -36,7 +36,7 @@ def _has_word(line: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """64-bit hash of the normalised line."""
-    return F.xxhash64(F.array_join(common.words(common.ascii_lower(line)), " "))
+    return F.xxhash64(common.words(common.ascii_lower(line)))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "_w": common.words(F.col("text")),
         "_l": F.filter(F.split(text, "\n", -1), _has_word),
     })
-    get = lambda i: F.get("_w", i)
+    out = out.withColumn("_v", F.transform("_w", lambda w: F.xxhash64(w)))
+    get = lambda i: F.get("_v", i)
     window = lambda i: F.xxhash64(*[get(i + k) for k in range(8)])
     out = out.withColumns({
         "n_words": F.size("_w").cast("long"),
@@ -63,7 +64,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_p", F.sort_array(F.transform(F.filter("_s", same), lambda x: x["i"])))
     gaps = F.transform("_p", lambda p, i: F.least(F.lit(8), F.coalesce(F.get("_p", i + 1) - p, F.lit(8))))
     out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long"))
-    return out.drop("_w", "_l", "_h", "_r", "_s", "_p")
+    return out.drop("_w", "_v", "_l", "_h", "_r", "_s", "_p")
 
 
 def base_failed() -> Column:
@@ -71,17 +72,16 @@ def base_failed() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_host, _text (its hash), _line, _n (the line's words) for each non-blank line of each document."""
-    line = F.transform(
-        F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1), _has_word),
-        lambda x: F.struct(line_key(x).alias("_line"), F.size(common.words(x)).alias("_n")),
-    )
-    return docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), F.explode(line).alias("_x")).select("_host", "_text", "_x.*")
+    """_host, _text (its hash), _line, _n (the words in it) for each distinct non-blank line of each distinct text of a host."""
+    split = F.transform(F.split(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "\n", -1), common.words)
+    line = F.transform(F.filter(split, lambda w: F.size(w) > 0), lambda w: F.struct(F.xxhash64(w).alias("_line"), F.size(w).alias("_n")))
+    rows = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), F.explode(line).alias("_x")).select("_host", "_text", "_x.*")
+    return rows.groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_n"))
 
 
-def frequent_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, lines: DataFrame | None = None, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
     """_host, _line of the lines above the limits.  Counts pre-aggregate on both sides of each exchange, so a hot host or line is one row a task."""
-    held = _lines(docs).groupBy("_host", "_line", "_text").agg(F.lit(1).alias("_one"))
+    held = _lines(docs) if lines is None else lines
     texts = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_all"))
     held = held.groupBy("_host", "_line").agg(F.count("*").alias("_held")).filter(F.col("_held") > line_texts)
     return (
@@ -94,9 +94,9 @@ def frequent_lines(docs: DataFrame, line_texts: int = LINE_TEXTS, line_share: fl
 
 def _worn(docs: DataFrame, frequent: DataFrame | None) -> DataFrame:
     """_host, _text, _cut (boilerplate lines), _gone (share of its words): one row per distinct text with a frequent line."""
-    frequent = common.materialize(frequent_lines(docs) if frequent is None else frequent, "frequent-lines")
+    lines = common.materialize(_lines(docs), "lines")  # hashes and numbers; counted once, then looked up
+    frequent = common.materialize(frequent_lines(docs, lines) if frequent is None else frequent, "frequent-lines")
     often = common.small(frequent.withColumn("_often", F.lit(True)), frequent.count())
-    lines = _lines(docs).groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_n"))
     lines = lines.withColumnsRenamed({"_host": "_h", "_line": "_l"})
     lines = lines.join(often, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_l") == F.col("_line")), "left")
     often = F.coalesce(F.col("_often"), F.lit(False))
