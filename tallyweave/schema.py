@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TEXT = T.StringType()
+_KINDS = {
+    "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType()),
+}
 
 
 def _fields(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema of flat fields; needs no session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(" ") for x in spec.split(", "))])
 
 
 #: One row per statement line.
