@@ -15,12 +15,16 @@ BROADCAST_ROWS = 250_000
 
 _own: dict[str, str] = {}
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tallyweave-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tallyweave-")
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
