@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import crf, decontaminate, fm, jaccard, mixing, quality, secrets, urlfilter, warc, wrapper
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,5 +24,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         warc.op10_warc,
     )
 }
-
-ORACLES: dict[str, str] = {}

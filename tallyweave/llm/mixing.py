@@ -114,4 +114,4 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.coalesce("position_1", F.lit(1.0))
     rows = rows.repartitionByRange(n, first, F.col("doc_id")).sortWithinPartitions(first, "doc_id")
-    return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("taken_1") + F.col("taken_2")).alias("taken"), "position_1", "position_2")
+    return rows.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("taken_1") + F.col("taken_2")).alias("taken"), F.round("position_1", 9).alias("position_1"), F.round("position_2", 9).alias("position_2"))
