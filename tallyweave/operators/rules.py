@@ -55,17 +55,17 @@ def spending_spike(inc: DataFrame, days: int = SPIKE_DAYS, factor: float = SPIKE
 def repeated(inc: DataFrame, count: int = REPEAT_COUNT, hours: int = REPEAT_HOURS, share: float = REPEAT_SHARE) -> DataFrame:
     """A row with ``count - 1`` others between the same two nodes within ``hours`` and ``share`` of its own amount.
 
-    Rows are first cut to those with enough neighbours in time (a range frame),
-    then paired on (node, other, time cell): each row looks into three cells of
-    ``hours`` width, so a busy pair of nodes is many small join keys.
+    Only rows with enough neighbours in time (a range frame) look for partners,
+    on (node, other, time cell): each looks into three cells of ``hours`` width,
+    so a busy pair of nodes is many small join keys.
     """
     us = hours * 3600 * 1_000_000
     rows = inc.filter(F.col("parsed_date").isNotNull()).select("node", "other", "amount", F.unix_micros(F.col("parsed_date").cast("timestamp")).alias("t"))
     near = Window.partitionBy("node", "other").orderBy("t").rangeBetween(-us, us)
-    rows = rows.withColumn("c", F.count("*").over(near)).filter(F.col("c") >= count)
+    rows = rows.withColumn("c", F.count("*").over(near))
     # equal rows are counted, not paired
-    rows = rows.groupBy("node", "other", "t", "amount").agg(F.count("*").alias("k")).withColumn("cell", F.floor(F.col("t") / us))
-    left = rows.withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
+    rows = rows.groupBy("node", "other", "t", "amount").agg(F.count("*").alias("k"), F.max("c").alias("c")).withColumn("cell", F.floor(F.col("t") / us))
+    left = rows.filter(F.col("c") >= count).drop("c", "k").withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
     right = rows.select("node", "other", "cell", F.col("t").alias("u"), F.col("amount").alias("b"), F.col("k").alias("kb"))
     alike = F.when(F.col("amount") == 0, F.col("b") == 0).otherwise(F.abs(F.col("b") - F.col("amount")) / F.abs("amount") <= share)
     met = left.join(right, ["node", "other", "cell"]).filter((F.abs(F.col("u") - F.col("t")) <= us) & alike)
