@@ -10,7 +10,7 @@
    no partner and goes at once.
 3. Each remaining prefix hash is a bucket; its least class is the bucket's
    pivot, and the buckets of one pivot form one group.  A group is verified in
-   blocks of ``BLOCK`` by ``BLOCK`` classes, so one large group is many tasks;
+   pairs of blocks of bounded size, so one large group is many tasks;
    a pair of a block needs a shared prefix hash, passes the length, positional
    and suffix (cells of the hash space) filters, and is then counted exactly,
    unless links found before connect it already.  A pair is left to the group
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from . import common, textkernel
 from .components import components
 
-BLOCK = 256
+#: A block holds so many classes and shingles at most, whichever comes first.
+BLOCK, BLOCK_SHINGLES = 1024, 200_000
 CELLS = 64
 SURPLUS = 20  # one shingle in so many is looked up beyond the plain prefix
 
@@ -113,6 +114,7 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     h, row = np.concatenate(hs), np.concatenate(rs)
     n = np.bincount(row, minlength=rows)
     begin = np.concatenate([[0], np.cumsum(n)])
+    n = n.astype(np.int32)
     need = -(-3 * (n[:, None] + n[None, :]) // 7)
     # pairs of this block, by length
     alive = np.minimum(n[:, None], n[None, :]) >= need
@@ -171,8 +173,8 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
 def links(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v: links between classes that connect every component."""
     members = common.materialize(_members(sig, classes), "members")
-    sizes = members.groupBy("p").agg(F.count("*").alias("g")).filter("g > 1")
-    rows = members.join(sizes, "p").withColumn("parts", F.ceil(F.col("g") / BLOCK).cast("int"))
+    sizes = members.join(classes.select("cls", "n"), "cls").groupBy("p").agg(F.count("*").alias("g"), F.sum("n").alias("s")).filter("g > 1")
+    rows = members.join(sizes, "p").withColumn("parts", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
