@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import narration as N
 from ..functions import scalars as S
 from ..operators import features, graph, iforest, metrics, model, rings, rules
+from ..session import materialize
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,9 +627,9 @@ def _extra() -> dict:
 
 
 def _trained(spark, d, epochs: int = 15):
-    e, n, _ = rings.inject(views.edges(spark, d).withColumns(_extra()).cache(), views.nodes(spark, d).cache(), 2, 13)
-    e = e.cache()
-    feats = features.scale_features(features.node_features(e, n)).cache()
+    e, n, _ = rings.inject(materialize(views.edges(spark, d).withColumns(_extra())), materialize(views.nodes(spark, d)), 2, 13)
+    e = materialize(e)
+    feats = materialize(features.scale_features(features.node_features(e, n)))
     return e, feats, model.train(e, feats, list(features.COLUMNS), epochs=epochs, hidden=16, embed=8, seed=0, rate=0.02)
 
 
@@ -641,5 +642,5 @@ def gae_embeddings(spark, d):
 @query()
 def gae_anomaly(spark, d):
     e, feats, m = _trained(spark, d)
-    emb = model.embed(m, e, feats).cache()
+    emb = materialize(model.embed(m, e, feats))
     return metrics.combine_scores(model.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", trees=50))

@@ -1,7 +1,8 @@
 """Whole studies: the pipeline, seed benchmarks, comparisons, ablations and held-out generalisation.
 
 A study is a loop over a few seeds on the driver; everything inside a seed is a
-plan.  The real graph and its incidence are cached once and shared by all seeds.
+plan.  What several plans read (graph, features, embeddings, scores) is written once
+in the shared folder, so plans stay small and a lost executor costs little.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import features, graph, iforest, metrics, model, rings, rules
+from ..session import materialize
 from ..sources import sinks
 
 SEEDS = (42, 43, 44, 45, 46)
@@ -27,19 +29,23 @@ def _vector(feats: DataFrame) -> DataFrame:
 
 def fit_graph(edges: DataFrame, nodes: DataFrame, seed: int, epochs: int, hidden: int, embed: int, rate: float) -> tuple[model.Model, DataFrame]:
     """The trained model and the scaled features of a graph."""
-    feats = features.scale_features(features.node_features(edges, nodes)).cache()
+    feats = materialize(features.scale_features(features.node_features(edges, nodes)), "features")
     return model.train(edges, feats, list(features.COLUMNS), epochs=epochs, rate=rate, hidden=hidden, embed=embed, seed=seed), feats
 
 
 def all_scores(trained: model.Model, edges: DataFrame, nodes: DataFrame, feats: DataFrame, seed: int, forest_on: str = "z") -> DataFrame:
     """method, node_id, score of the four methods on one graph.  ``forest_on``: z (embeddings) or x (features) for the method IF."""
-    emb = model.embed(trained, edges, feats).cache()
-    gnn = model.reconstruction_scores(edges, emb).cache()
-    on_z = iforest.isolation_scores(emb, "z", seed).cache()
+    emb = materialize(model.embed(trained, edges, feats), "embeddings")
+    gnn = materialize(model.reconstruction_scores(edges, emb), "scores")
+    on_z = materialize(iforest.isolation_scores(emb, "z", seed), "scores")
     alone = on_z if forest_on == "z" else iforest.isolation_scores(_vector(feats), "x", seed)
     by_rule = rules.combined(graph.incidence(edges), nodes).select("node_id", F.col("combined").alias("score"))
     named = zip(METHODS, (by_rule, alone, gnn, metrics.combine_scores(gnn, on_z)), strict=True)
-    return functools.reduce(DataFrame.unionByName, (s.select(F.lit(m).alias("method"), "node_id", "score") for m, s in named))
+    return _stack(named)
+
+
+def _stack(named) -> DataFrame:
+    return materialize(functools.reduce(DataFrame.unionByName, (s.select(F.lit(m).alias("method"), "node_id", "score") for m, s in named)), "scores")
 
 
 def slice_table(scores: DataFrame, records: DataFrame, by_prefix: str = "SYN:") -> DataFrame:
@@ -56,12 +62,13 @@ def slice_table(scores: DataFrame, records: DataFrame, by_prefix: str = "SYN:")
     of = own.select("node_id", F.explode(F.array(F.struct("ring_type", none.alias("tier")), F.struct(none.alias("ring_type"), "tier"), F.struct(none.alias("ring_type"), none.alias("tier")))).alias("s")).select("node_id", "s.*").distinct()
     pos = scores.join(F.broadcast(of), "node_id").withColumn("label", F.lit(1))  # members of a few rings
     real = scores.join(F.broadcast(own.select("node_id").distinct()), "node_id", "left_anti").crossJoin(F.broadcast(slices)).withColumn("label", F.lit(0))  # a dozen slices
-    return metrics.compute_metrics(pos.unionByName(real, allowMissingColumns=True), by=["method", "ring_type", "tier"])
+    rows = materialize(pos.unionByName(real, allowMissingColumns=True), "slices")
+    return materialize(metrics.compute_metrics(rows, by=["method", "ring_type", "tier"]), "metrics")
 
 
 def one_seed(edges: DataFrame, nodes: DataFrame, seed: int, per_cell: int, epochs: int, hidden: int, embed: int, rate: float, forest_on: str = "z") -> DataFrame:
     e, n, records = rings.inject(edges, nodes, per_cell, seed)
-    e, n = e.cache(), n.cache()
+    e, n = materialize(e, "edges"), materialize(n, "nodes")
     trained, feats = fit_graph(e, n, seed, epochs, hidden, embed, rate)
     out = slice_table(all_scores(trained, e, n, feats, seed, forest_on), records)
     return out.withColumns({"seed": F.lit(seed), "loss": F.lit(trained.losses[-1])})
@@ -70,8 +77,8 @@ def one_seed(edges: DataFrame, nodes: DataFrame, seed: int, per_cell: int, epoch
 def over_seeds(edges: DataFrame, nodes: DataFrame, seeds: tuple[int, ...] = SEEDS, **options) -> DataFrame:
     """Per-seed rows; ``forest_on="z"`` compares methods, ``"x"`` is the ablation."""
     options = DEFAULTS | options
-    edges, nodes = edges.cache(), nodes.cache()
-    return functools.reduce(DataFrame.unionByName, (one_seed(edges, nodes, s, **options) for s in seeds)).cache()
+    edges, nodes = materialize(edges, "edges"), materialize(nodes, "nodes")
+    return functools.reduce(DataFrame.unionByName, (one_seed(edges, nodes, s, **options) for s in seeds))
 
 
 VALUES = ("roc_auc", "pr_auc", "precision_at_n", "recall_at_n")
@@ -92,12 +99,13 @@ def contributions(per_seed: DataFrame, column: str = "pr_auc") -> DataFrame:
 
 def heldout(edges: DataFrame, nodes: DataFrame, held: str, seed: int, per_cell: int = 10, epochs: int = 200, hidden: int = 64, embed: int = 32, rate: float = 0.02) -> DataFrame:
     """Train on the other types, score the held-out type forward only, against a forest on raw features; with the number of shared synthetic ids."""
-    (e, n, r), (te, tn, tr) = rings.heldout_split(edges.cache(), nodes.cache(), held, per_cell, seed)
+    (e, n, r), (te, tn, tr) = rings.heldout_split(materialize(edges, "edges"), materialize(nodes, "nodes"), held, per_cell, seed)
+    e, n, te, tn = (materialize(x, "graph") for x in (e, n, te, tn))
     trained, _ = fit_graph(e, n, seed, epochs, hidden, embed, rate)
-    feats = features.scale_features(features.node_features(te, tn)).cache()
-    emb = model.embed(trained, te, feats)
+    feats = materialize(features.scale_features(features.node_features(te, tn)), "features")
+    emb = materialize(model.embed(trained, te, feats), "embeddings")
     named = (("GNN", model.reconstruction_scores(te, emb)), ("IF", iforest.isolation_scores(_vector(feats), "x", seed)))
-    scores = functools.reduce(DataFrame.unionByName, (s.select(F.lit(m).alias("method"), "node_id", "score") for m, s in named))
+    scores = _stack(named)
     shared = metrics.overlap(metrics.members(r), metrics.members(tr)).first().n_shared
     return slice_table(scores, tr).withColumns({"held_out_type": F.lit(held), "seed": F.lit(seed), "overlap": F.lit(shared)})
 
@@ -143,12 +151,12 @@ def run_pipeline(spark: SparkSession, txns: DataFrame, out: str, seed: int = 42,
     """Transactions to artifacts under ``out``; the summary that is also written as JSON."""
     options = DEFAULTS | options
     began = time.time()
-    edges, nodes = graph.build_edges(txns).cache(), graph.build_nodes(txns).cache()
+    edges, nodes = materialize(graph.build_edges(txns), "edges"), materialize(graph.build_nodes(txns), "nodes")
     e, n, records = rings.inject(edges, nodes, options["per_cell"], seed)
-    e, n = e.cache(), n.cache()
+    e, n = materialize(e, "edges"), materialize(n, "nodes")
     trained, feats = fit_graph(e, n, seed, options["epochs"], options["hidden"], options["embed"], options["rate"])
-    emb = model.embed(trained, e, feats).cache()
-    scores = metrics.combine_scores(model.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", seed)).cache()
+    emb = materialize(model.embed(trained, e, feats), "embeddings")
+    scores = materialize(metrics.combine_scores(model.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", seed)), "scores")
     found = metrics.evaluate_recovery(scores, records)
     sinks.write_csv(features.node_features(e, n), f"{out}/node_features")
     sinks.write_graph(n, e, f"{out}/graph")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +36,25 @@ def ship(spark: SparkSession) -> None:
             out.write(f, f.relative_to(top.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="tallyweave-")
+    return _own[app]
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back.  Losing an executor loses nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tallyweave/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

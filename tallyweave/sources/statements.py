@@ -42,7 +42,7 @@ def decode(content: bytes) -> str:
 
 def layout(lines: list[str]) -> str:
     """ICORE, BANK_METADATA, TABULAR or UNKNOWN, by the first lines, in this order."""
-    head = "\n".join(lines[:SCAN_LINES]).upper()
+    head = "\n".join(lines[:SCAN_LINES]).upper().replace("\\_", "_")
     if CORE_HEADER in head.replace(" ", ""):
         return "ICORE"
     if BANK_HEADER in head.replace(" ", ""):
