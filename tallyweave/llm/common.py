@@ -2,38 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401  for the operators
+from ..session import materialize, shared_dir, ship  # noqa: F401  for the operators
 
 #: Rows of at most a few dozen bytes that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 250_000
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tallyweave-")
-    return _own[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back.  Losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` keep it under the bound; else leave a shuffled join."""
