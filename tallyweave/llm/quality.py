@@ -136,7 +136,8 @@ def filter_documents(docs: DataFrame, frequent: DataFrame | None = None) -> Data
     packed = docs.select(F.struct("*").alias("_row"), "text", "source")  # own columns cannot clash with those of the input
     keyed = base_counts(packed).withColumns({"_h": F.col("source"), "_t": F.xxhash64("text")})
     out = keyed.join(worn, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_t") == F.col("_text")), "left")
-    out = out.filter(~base_failed() & ~_depleted())
+    # one predicate over both sides of the join: split, its halves would move below and repeat the counting expressions
+    out = out.filter(base_failed().cast("int") + _depleted().cast("int") == 0)
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~(_has_word(x) & F.array_contains(F.col("_cut"), line_key(x)))), "\n")
     cut = F.col("_cut").isNotNull()
     out = out.withColumn("_rest", F.when(cut, rest).otherwise(F.col("text")))
