@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered, running
+
 EXTRA_KS = (10, 25, 50, 100)
 
 
 def rank_normalize(scores: DataFrame, column: str = "score", name: str = "rank") -> DataFrame:
     """``scores`` plus (row number - 1) / (n - 1) ascending; a single row ranks 0."""
-    place = F.row_number().over(Window.orderBy(column, "node_id")) - 1
-    n = F.count("*").over(Window.partitionBy())
-    return scores.withColumn(name, F.when(n > 1, place / (n - 1)).otherwise(0.0))
+    rows = numbered(scores, [column, "node_id"], "_place").crossJoin(F.broadcast(scores.agg(F.count("*").alias("_n"))))  # one row
+    return rows.withColumn(name, F.when(F.col("_n") > 1, (F.col("_place") - 1) / (F.col("_n") - 1)).otherwise(0.0)).drop("_place", "_n")
 
 
 def combine_scores(recon: DataFrame, iso: DataFrame) -> DataFrame:
@@ -36,8 +37,12 @@ def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """roc_auc: the Mann-Whitney statistic, ties counting half; null where a class is missing."""
     by = by or []
     level = _distinct_scores(rows, by)
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    level = level.withColumn("n_below", F.coalesce(F.sum(F.col("c") - F.col("p")).over(below), F.lit(0)))
+    negative = F.col("c") - F.col("p")
+    if by:
+        below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("n_below", F.coalesce(F.sum(negative).over(below), F.lit(0)))
+    else:
+        level = running(level, ["score"], {"n_below": negative}).withColumn("n_below", F.col("n_below") - negative)
     wins = F.sum(F.col("p") * (F.col("n_below") + (F.col("c") - F.col("p")) / 2e0))
     pos, neg = F.sum("p"), F.sum(F.col("c") - F.col("p"))
     return level.groupBy(*by).agg(F.try_divide(wins, (pos * neg).cast("double")).alias("roc_auc"))
@@ -47,16 +52,19 @@ def average_precision(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     """pr_auc: the sum of precision times the recall gained, over distinct thresholds."""
     by = by or []
     level = _distinct_scores(rows, by)
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = level.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("c").over(down)})
+    if by:
+        down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        level = level.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("c").over(down)})
+    else:
+        level = running(level, [F.col("score").desc()], {"tp": F.col("p"), "seen": F.col("c")})
     return level.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("tp") / F.col("seen").cast("double"))), F.sum("p").cast("double")).alias("pr_auc"))
 
 
 def precision_recall_at(rows: DataFrame, ks: tuple[int, ...] = EXTRA_KS, by: list[str] | None = None) -> DataFrame:
     """k, precision, recall for each k up to the number of rows; k = 0 stands for the number of positives."""
     by = by or []
-    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "node_id")
-    ranked = rows.withColumn("rn", F.row_number().over(order))
+    order = [F.col("score").desc(), F.col("node_id")]
+    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else numbered(rows, order)
     totals = rows.groupBy(*by).agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.count("*").alias("n"))
     wanted = totals.withColumn("asked", F.explode(F.array(*[F.lit(k) for k in ks])))
     wanted = wanted.withColumn("k", F.when(F.col("asked") == 0, F.col("pos")).otherwise(F.col("asked"))).filter((F.col("k") > 0) & (F.col("k") <= F.col("n")))
