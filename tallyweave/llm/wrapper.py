@@ -6,11 +6,11 @@ repeat inside a page are folded into repeated groups.  For each host the
 distinct folded streams are aligned one after another, the most frequent first:
 tokens that match stay, tokens that one side lacks become optional groups, and
 texts that differ become text slots, while a text that never differs belongs to
-the template.  The host's wrapper then says for each stream which slots hold
-the article: those in a main region, or, where a stream has none, neutral slots
-that vary, are not mostly links, and are not template text.  Chrome (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments) is
-recognised by tag, role and class names, inside the article too.
+the template.  The host's wrapper then says for each stream which slots hold the
+article: those in a main region, or, where a stream has none, the neutral slots
+that are not template text (blocks that are mostly links are left out before).
+Chrome (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments) is recognised by tag, role and class names, inside the article too.
 
 Streams are folded, counted and pre-aggregated before anything meets by host, so
 a host with a third of all pages sends one row per slot of each distinct stream.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textkernel
 from .urlfilter import host
 
 #: Distinct pages that must agree on a text before it counts as template.
@@ -205,33 +205,32 @@ def fold(tokens: list[str], longest: int = 4) -> tuple[list[str], list[int]]:
 
 
 def _page(html: str | None) -> tuple[str, list[tuple[str, str, int]], list[int]]:
-    found = blocks(html) if html else []
+    found = [b for b in blocks(html) if b[0].startswith("M") or 2 * b[2] <= len(b[1])] if html else []
     seq, slots = fold([b[0] for b in found])
     return "\n".join(seq), found, slots
 
 
-_STAT = "host string, sig string, slot int, n bigint, low bigint, high bigint, chars bigint, linked bigint"
+_STAT = "host string, sig string, slot int, n bigint, low bigint, high bigint"
 
 
+@textkernel.releasing
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: statistics of each slot of each (host, stream)."""
     for batch in batches:
         seen: dict[tuple, list[int]] = {}
         for where, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             sig, found, slots = _page(html.as_py())
-            texts: dict[int, list] = {}
-            for (_, text, linked), slot in zip(found, slots, strict=True):
-                x = texts.setdefault(slot, [0, 0, 0])
-                x[0], x[1], x[2] = hash_text(text, x[0]), x[1] + len(text), x[2] + linked
-            for slot, (h, chars, linked) in texts.items():
-                s = seen.setdefault((where, sig, slot), [0, h, h, 0, 0])
-                s[0] += 1
-                s[1], s[2], s[3], s[4] = min(s[1], h), max(s[2], h), s[3] + chars, s[4] + linked
+            texts: dict[int, int] = {}
+            for (_, text, _), slot in zip(found, slots, strict=True):
+                texts[slot] = hash_text(text, texts.get(slot, 0))
+            for slot, h in texts.items():
+                s = seen.setdefault((where, sig, slot), [0, h, h])
+                s[:] = s[0] + 1, min(s[1], h), max(s[2], h)
         rows = [(*k, *v) for k, v in seen.items()]
-        yield pa.RecordBatch.from_pydict(dict(zip(("host", "sig", "slot", "n", "low", "high", "chars", "linked"), map(list, zip(*rows, strict=True)) if rows else [[] for _ in range(8)], strict=True)), schema=_STATS)
+        yield pa.RecordBatch.from_pydict(dict(zip(_STATS.names, map(list, zip(*rows, strict=True)) if rows else [[] for _ in _STATS.names], strict=True)), schema=_STATS)
 
 
-_STATS = pa.schema([("host", pa.string()), ("sig", pa.string()), ("slot", pa.int32())] + [(k, pa.int64()) for k in ("n", "low", "high", "chars", "linked")])
+_STATS = pa.schema([("host", pa.string()), ("sig", pa.string()), ("slot", pa.int32())] + [(k, pa.int64()) for k in ("n", "low", "high")])
 
 
 def hash_text(text: str, before: int = 0) -> int:
@@ -275,7 +274,7 @@ def infer(streams: list[tuple[list[str], list[dict]]]) -> list[list[int]]:
 
 
 def _wrap(key: tuple, table: pa.Table) -> pa.Table:
-    """host, sig, mask: per slot of each stream of the host, 1 where it holds the article."""
+    """host, sig (a hash of the stream), mask: per slot of each stream of the host, 1 where it holds the article."""
     by: dict[str, list[dict]] = {}
     for row in table.to_pylist():
         by.setdefault(row["sig"], []).append(row)
@@ -285,8 +284,8 @@ def _wrap(key: tuple, table: pa.Table) -> pa.Table:
     stats: dict[int, list[int]] = {}
     for (_, rows), where in zip(streams, places, strict=True):
         for r in rows:
-            s = stats.setdefault(where[r["slot"]], [0, r["low"], r["high"], 0, 0])
-            s[0], s[1], s[2], s[3], s[4] = s[0] + r["n"], min(s[1], r["low"]), max(s[2], r["high"]), s[3] + r["chars"], s[4] + r["linked"]
+            s = stats.setdefault(where[r["slot"]], [0, r["low"], r["high"]])
+            s[:] = s[0] + r["n"], min(s[1], r["low"]), max(s[2], r["high"])
     varies = any(s[1] != s[2] for s in stats.values())
     template = {w for w, s in stats.items() if varies and s[1] == s[2] and s[0] >= TEMPLATE_PAGES}
     masks = []
@@ -294,18 +293,18 @@ def _wrap(key: tuple, table: pa.Table) -> pa.Table:
         if any(t.startswith("M|") for t in tokens):
             masks.append("".join("01"[t.startswith("M|")] for t in tokens))
             continue
-        good = [w not in template and 2 * stats[w][4] <= stats[w][3] for w in where]
-        masks.append("".join("01"[g] for g in good))
-    return pa.table({"host": pa.array([key[0].as_py()] * len(order), pa.string()), "sig": pa.array(order, pa.string()), "mask": pa.array(masks, pa.string())})
+        masks.append("".join("01"[w not in template] for w in where))
+    return pa.table({"host": pa.array([key[0].as_py()] * len(order), pa.string()), "sig": pa.array([hash_text(s) for s in order], pa.int64()), "mask": pa.array(masks, pa.string())})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     common.ship(pages.sparkSession)
     rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_streams, _STAT)
-    rows = rows.groupBy("host", "sig", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    return rows.groupBy("host").applyInArrow(_wrap, "host string, sig string, mask string")
+    rows = rows.groupBy("host", "sig", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return rows.groupBy("host").applyInArrow(_wrap, "host string, sig bigint, mask string")
 
 
+@textkernel.releasing
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         step = max(1, int(np.ceil(batch.num_rows / max(1, batch.nbytes // 4_000_000 + 1))))
@@ -314,17 +313,17 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs, lists = [], []
             for html in part.column(3):
                 sig, found, slots = _page(html.as_py())
-                sigs.append(sig)
+                sigs.append(hash_text(sig))
                 lists.append([{"s": s, "t": b[1]} for b, s in zip(found, slots, strict=True)])
             kind = pa.list_(pa.struct([("s", pa.int32()), ("t", pa.string())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sigs, pa.string()), pa.array(lists, kind)], names=["page_id", "url", "h", "sg", "blocks"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sigs, pa.int64()), pa.array(lists, kind)], names=["page_id", "url", "h", "sg", "blocks"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     plan = common.materialize(wrappers(pages), "wrappers")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", host(F.col("url")).alias("h"), "html")
-    rows = rows.mapInArrow(_texts, "page_id bigint, url string, h string, sg string, blocks array<struct<s:int,t:string>>")
+    rows = rows.mapInArrow(_texts, "page_id bigint, url string, h string, sg bigint, blocks array<struct<s:int,t:string>>")
     rows = rows.join(common.small(plan, plan.count(), 50_000), (F.col("h") == F.col("host")) & (F.col("sg") == F.col("sig")), "left")
     kept = F.filter("blocks", lambda b: F.substring("mask", b["s"] + 1, F.lit(1)) == "1")
     text = F.coalesce(F.array_join(F.transform(kept, lambda b: b["t"]), "\n\n"), F.lit(""))

@@ -71,6 +71,15 @@ def line_docs():
     return rows + [(200, "read more about our site today\n" + own(30), "other"), (201, None, "h"), (202, f"{own(30)}\nread more about our site today", None)]
 
 
+def test_near_copies_are_not_boilerplate(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    body = "\n".join(own(10) for _ in range(6))
+    rows = [(k, own(40), "h") for k in range(500)] + [(1000 + k, f"{body}\n{own(3)}", "h") for k in range(45)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    assert quality.judge(df).filter("not kept").count() == 0
+
+
 def test_frequent_lines(spark):
     rows = line_docs()
     df = spark.createDataFrame(rows, "doc_id int, text string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars", "1 as n_words")
