@@ -59,6 +59,7 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
         yield at, h, row, len(offs) - 1
 
 
+@textkernel.releasing
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, t, texts = batch.column(0), batch.column(1), batch.column(2)
@@ -166,6 +167,8 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
                 a, b = root[x], root[y]
                 root[root == max(a, b)] = min(a, b)
         flag[own] = False
+    if table.nbytes > 2_000_000:
+        textkernel.release()
     far = np.flatnonzero(root != np.arange(rows))
     return pa.table({"u": pa.array(cls[far], pa.int64()), "v": pa.array(cls[root[far]], pa.int64())})
 
