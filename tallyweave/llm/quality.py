@@ -23,8 +23,9 @@ from . import common
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate when over both this many distinct texts of its host ...
 LINE_TEXTS = 20
-#: ... and this share of them hold it.
-LINE_SHARE = 0.01
+#: ... and this share of them hold it.  A large family of near copies of one text
+#: must not make its own lines boilerplate, or none of it would be left to keep.
+LINE_SHARE = 0.1
 #: A document is depleted when over this share of its words, and all but so many of them, were boilerplate.
 DEPLETED_SHARE = 0.9
 LEFT_WORDS = 20
@@ -132,7 +133,8 @@ def filter_documents(docs: DataFrame, frequent: DataFrame | None = None) -> Data
     """Documents that pass, without their boilerplate lines; n_chars, if there, follows the text.  All columns stay."""
     columns = docs.columns
     worn = common.materialize(_worn(docs.select("text", "source"), frequent), "worn-texts")
-    worn = common.small(worn, worn.count(), common.BROADCAST_ROWS // 8)
+    size = worn.agg(F.count("*") + F.coalesce(F.sum(F.size("_cut")), F.lit(0))).first()[0]
+    worn = common.small(worn, size)
     packed = docs.select(F.struct("*").alias("_row"), "text", "source")  # own columns cannot clash with those of the input
     keyed = base_counts(packed).withColumns({"_h": F.col("source"), "_t": F.xxhash64("text")})
     out = keyed.join(worn, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_t") == F.col("_text")), "left")
