@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..session import materialize
+from .order import numbered
 
 
 def _said(x: Column) -> Column:
@@ -123,9 +125,9 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> tuple[DataFrame,
     return found, inside
 
 
-def hash_index(nodes: DataFrame, order: Column | str = "node_seq") -> DataFrame:
-    """node_id and its dense position in ``order``: for the driver-side trainer, whose graphs fit one machine."""
-    return nodes.select("node_id", (F.row_number().over(Window.orderBy(order, "node_id")) - 1).alias("idx"))
+def node_index(nodes: DataFrame, order: str = "node_seq") -> DataFrame:
+    """node_id and its dense position, from 0, in ``order``."""
+    return numbered(nodes.select("node_id", order), [order, "node_id"], "idx").select("node_id", (F.col("idx") - 1).alias("idx"))
 
 
 def negative_pairs(edges: DataFrame, nodes: DataFrame, per_positive: int = 1, seed: int = 0) -> DataFrame:
@@ -134,7 +136,7 @@ def negative_pairs(edges: DataFrame, nodes: DataFrame, per_positive: int = 1, se
     Nodes are numbered by a dense index only within the draw; fewer rows than
     drawn stay where a draw hits an edge.
     """
-    index = hash_index(nodes)
+    index = materialize(node_index(nodes), "index")
     n = index.count()
     draws = positive_pairs(edges).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
     pick = lambda salt: F.pmod(F.xxhash64("src", "dst", "k", F.lit(seed), F.lit(salt)), F.lit(max(n, 1)))

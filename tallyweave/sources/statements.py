@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import narration, scalars
+from ..operators.order import numbered
 from ..schema import TRANSACTION
 from ..session import ship
 from . import workbook
@@ -151,7 +152,7 @@ def parse(spark: SparkSession, root: str, readers: dict[str, Callable] | None =
     """Status rows and raw rows of every file under ``root``; ``file_seq`` follows the sorted paths."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    order = files.select("path").withColumn("file_seq", F.row_number().over(Window.orderBy("path")).cast("bigint"))  # one short row a file
+    order = numbered(files.select("path"), ["path"], "file_seq")
     return files.select("path", "content").join(order, "path").select("file_seq", "path", "content").mapInArrow(_parser(readers or READERS), _DDL)
 
 
