@@ -9,7 +9,8 @@ The longest rule that fits decides (list rules before pattern rules); nothing
 fitting means allow.  Defined cases.  A null URL, or one without ``://``, has
 an empty host and path and is allowed.  Of rules of equal length, block wins,
 then the smaller text.  Repeated rows are judged alike, each on its own row.
-An empty table gives an empty result.  Extra columns pass through :func:`judge`.
+An empty table gives an empty result.  Extra columns pass through :func:`judge`;
+those named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The index stays the size of the rule list, so it is broadcast as one array
     per token and each URL is judged in place, without a shuffle.
     """
-    rows = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    rows = pages.select(F.struct("*").alias("_row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rows = rows.withColumn("_key", F.concat("host", "path")).withColumn("_tokens", _tokens(F.col("_key")))
     table = index(rows.select("_tokens"), rules).collect()  # one row per rule
     entry = lambda r: F.struct(F.lit(r["_listed"]).alias("l"), F.lit(len(r["rule"])).alias("n"), F.lit(int(r["verdict"] == "block")).alias("b"), F.lit(r["rule"]).alias("rule"), F.lit(r["verdict"]).alias("verdict"), F.lit(r["_pattern"]).alias("p"))
@@ -119,11 +120,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         fetched = F.flatten(F.transform(F.filter("_tokens", lambda t: t.isin(sorted(by_token))), lambda t: F.element_at(postings, t)))
         rows = rows.withColumn("_all", F.concat("_all", fetched))
     rows = rows.withColumn("_fit", F.array_max(F.filter("_all", lambda x: F.regexp_like(F.col("_key"), x["p"]))))
-    return rows.withColumns({
-        "rule": F.when(F.col("_fit.l") == 1, F.col("_fit.rule")),
-        "verdict": F.coalesce(F.col("_fit.verdict"), F.lit("allow")),
-        "matched": F.col("_fit.rule"),
-    }).drop("_key", "_tokens", "_all", "_fit")
+    new = {
+        "host": F.col("host"), "path": F.col("path"), "rule": F.when(F.col("_fit.l") == 1, F.col("_fit.rule")),
+        "verdict": F.coalesce(F.col("_fit.verdict"), F.lit("allow")), "matched": F.col("_fit.rule"),
+    }
+    return rows.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:

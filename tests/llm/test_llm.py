@@ -218,10 +218,10 @@ URLS = {
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(k, u, "mine") for k, u in enumerate(URLS)] * 2, "page_id int, url string, extra string")
+    df = spark.createDataFrame([(k, u, "mine", "h") for k, u in enumerate(URLS)] * 2, "page_id int, url string, _key string, host string")
     got = urlfilter.judge(df).collect()
     assert len(got) == 2 * len(URLS)
-    assert all((r.host, r.path, r.rule, r.verdict) == URLS[r.url] and r.extra == "mine" for r in got)
+    assert all((r.host, r.path, r.rule, r.verdict) == URLS[r.url] and r["_key"] == "mine" for r in got)
     assert urlfilter.literal_tokens(urlfilter.LISTED[0].pattern) == ["com", "en"] and urlfilter.literal_tokens(r"\d+-\d+") == []
 
 
