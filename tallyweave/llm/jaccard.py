@@ -177,7 +177,8 @@ def links(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v: links between classes that connect every component."""
     members = common.materialize(_members(sig, classes), "members")
     sizes = members.join(classes.select("cls", "n"), "cls").groupBy("p").agg(F.count("*").alias("g"), F.sum("n").alias("s")).filter("g > 1")
-    rows = members.join(sizes, "p").withColumn("parts", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int"))
+    sizes = common.materialize(sizes, "groups")
+    rows = members.join(common.small(sizes, sizes.count()), "p").withColumn("parts", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")})
