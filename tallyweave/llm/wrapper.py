@@ -51,10 +51,14 @@ _HARD = frozenset(
     "ad ads adbox adsense advert advertisement adverts advertising sponsor sponsored promo promotion promoted sidebar aside nav navbar navigation menu submenu "
     "comment comments commentlist reply replies respond disqus cookie cookies consent gdpr notice notices notification banner newsletter subscribe subscription signup "
     "share sharing sharebar social related recommended recommendations popup modal overlay breadcrumb breadcrumbs pagination pager widget widgets login search toolbar skip skiplink footer "
-    "disclaimer alert tags".split()
+    "disclaimer alert tags responses discussion feedback reviews announcement paywall adblock adunit adslot adcontainer adwrapper adspace adframe".split()
 )
+#: Stems that mark chrome at either end of a name's part ("topnav", "commentlist").
+_STEMS = ("nav", "menu", "sidebar", "footer", "comment", "cookie", "advert", "banner", "promo", "newsletter", "subscri", "social", "breadcrumb", "sponsor", "popup", "modal", "consent", "disclaimer", "toolbar", "signup", "pagination")
 _SOFT = frozenset("header head masthead top bottom foot copyright legal sitefooter siteheader".split())
 _CONTENT = frozenset("content maincontent article articlebody post postcontent entry entrycontent story storybody articlecontent maintext".split())
+#: Parts of names that describe the layout around something, not the thing.
+_LAYOUT = frozenset("has no with without open enabled layout col row page".split())
 _ROLES = {"navigation": "hard", "banner": "soft", "contentinfo": "hard", "complementary": "hard", "search": "hard", "form": "hard", "dialog": "hard", "alert": "hard", "main": "main", "article": "main"}
 
 _TOKEN = re.compile(
@@ -67,6 +71,8 @@ _PARTS = re.compile(r"[\s_-]+")
 
 def _label(tag: str, attrs: str) -> tuple[str, str]:
     """The element's name in paths, and its role: hard or soft chrome, main, or nothing."""
+    if tag in ("html", "body"):
+        return tag, ""
     role = "main" if tag in _MAIN else "hard" if tag in _SKIP else "soft" if tag == "header" else ""
     if not attrs.strip(" /"):
         return tag, role
@@ -78,7 +84,9 @@ def _label(tag: str, attrs: str) -> tuple[str, str]:
                 name = f"{tag}.{value.split()[0] if value.split() else ''}"
             for one in value.split():
                 parts = set(_PARTS.split(one)) | {_PARTS.sub("", one)}
-                if parts & _HARD:
+                if parts & _LAYOUT:
+                    continue
+                if parts & _HARD or any(p.startswith(_STEMS) or p.endswith(_STEMS) for p in parts):
                     return name, "hard"
                 if parts & _SOFT:
                     role = role or "soft"

@@ -294,6 +294,20 @@ def test_extraction(spark):
     assert got[20] == got[21] == got[22] == [""] and got[23] == ["just words here"] and sorted(got[24]) == ["a", "a\n\nb < c\n\nd"]
 
 
+@pytest.mark.parametrize("chrome", [
+    '<div class="topnav">{}</div>', '<div id="sidebar-left">{}</div>', '<section class="reader-comments"><p>{}</p></section>', '<div class="ad_slot">{}</div>', '<div role="alert">{}</div>', '<p hidden>{}</p>',
+    '<div style="display: none">{}</div>', '<footer><p>{}</footer>', '<form>{}<input></form>', '<script>{}</script>', '<noscript>{}</noscript>', '<!-- {} -->', '<div class="site-footer"><div><p>{}</div></div>', '<aside><article><p>{}</article></aside>', '<ol class="commentlist"><li>{}</ol>',
+])
+def test_chrome_inside_the_article(chrome):
+    html = f"<html><body><article><h1>Title</h1><p>First</p>{chrome.format('chrome')}<p>Second</p></article></body></html>"
+    assert [b[1] for b in wrapper.blocks(html)] == ["Title", "First", "Second"]
+
+
+def test_layout_names_are_not_chrome():
+    html = '<body class="home nav-open"><div class="page has-sidebar no-footer"><p>Words</p></div></body>'
+    assert [b[1] for b in wrapper.blocks(html)] == ["Words"]
+
+
 def test_folding_and_alignment():
     assert wrapper.fold(list("abbbcdcdcde")) == (["a", "b+", "c+", "d+", "e"], [0, 1, 1, 1, 2, 3, 2, 3, 2, 3, 4])
     places = wrapper.infer([(list("abc"), []), (list("abxc"), []), (["a", "x", "c"], [])])
