@@ -128,7 +128,7 @@ def k_hop_subgraph(spark, d):
     return graph.k_hop(e, e.agg(F.min("src").alias("node")), 1)[1].select("src", "dst", "amount")
 
 
-@query("select node_id, sum(k) as kinds from (select distinct src as node_id, 1 as k from edge union all select distinct dst, 2 from edge) x group by node_id")
+@query("select node_id, cast(sum(k) as bigint) as kinds from (select distinct src as node_id, 1 as k from edge union all select distinct dst, 2 from edge) x group by node_id")
 def union_nodes(spark, d):
     e = views.edges(spark, d)
     a = e.select(F.col("src").alias("node_id")).distinct().withColumn("k", F.lit(1))
