@@ -3,7 +3,11 @@
 Lines are normalised (trimmed, A-Z folded, white space runs to one space) and
 hashed; for each host (``documents.source``) the distinct texts holding a line
 are counted.  Lines above the host's limit are boilerplate: they are removed,
-and a document left with too little of its own is rejected.
+and a document left with too little of its own is rejected.  A large family of
+near copies of one text must not make its own lines boilerplate, or none of it
+would be left to keep.  So lines above the limit are counted again: texts that
+have most of their words in such lines, and the same least common one of them,
+are a family, and a family counts once.
 
 Defined cases.  A null text has no words, no lines, and fails the base rules.
 A null source is a host of its own.  Byte-identical texts of a host count once
@@ -23,9 +27,8 @@ from . import common
 SYMBOLS = "#*$%&|<>"
 #: A line is boilerplate when over both this many distinct texts of its host ...
 LINE_TEXTS = 20
-#: ... and this share of them hold it.  A large family of near copies of one text
-#: must not make its own lines boilerplate, or none of it would be left to keep.
-LINE_SHARE = 0.1
+#: ... and this share of them hold it.
+LINE_SHARE = 0.01
 #: A document is depleted when over this share of its words, and all but so many of them, were boilerplate.
 DEPLETED_SHARE = 0.9
 LEFT_WORDS = 20
@@ -73,39 +76,65 @@ def base_failed() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_host, _text (its hash), _line, _n (the words in it) for each distinct non-blank line of each distinct text of a host."""
+    """_host, _text (its hash), _line, _n (the words in it), _words (those of the text) for each distinct non-blank line of each distinct text of a host."""
     split = F.transform(F.split(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "\n", -1), common.words)
     line = F.transform(F.filter(split, lambda w: F.size(w) > 0), lambda w: F.struct(F.xxhash64(w).alias("_line"), F.size(w).alias("_n")))
-    rows = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), F.explode(line).alias("_x")).select("_host", "_text", "_x.*")
-    return rows.groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_n"))
+    rows = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), line.alias("_x"))
+    rows = rows.withColumn("_words", F.aggregate("_x", F.lit(0), lambda a, x: a + x["_n"])).withColumn("_x", F.explode("_x")).select("_host", "_text", "_words", "_x.*")
+    return rows.groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_n"), F.max("_words").alias("_words"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame | None = None, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
-    """_host, _line of the lines above the limits.  Counts pre-aggregate on both sides of each exchange, so a hot host or line is one row a task."""
-    held = _lines(docs) if lines is None else lines
+def _holding(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``lines`` whose line is in ``some``, with its other columns."""
+    some = common.small(some.withColumnsRenamed({"_host": "_h", "_line": "_l"}), some.count())
+    return lines.join(some, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_l") == F.col("_line"))).drop("_h", "_l")
+
+
+def _candidates(docs: DataFrame, lines: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    """_host, _line, _held, _all of the lines above the limits by texts.  Counts pre-aggregate on both sides of each exchange, so a hot host or line is one row a task."""
     texts = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    held = held.groupBy("_host", "_line").agg(F.count("*").alias("_held")).filter(F.col("_held") > line_texts)
+    held = lines.groupBy("_host", "_line").agg(F.count("*").alias("_held")).filter(F.col("_held") > line_texts)
     return (
         held.withColumnRenamed("_host", "_h")
         .join(texts, F.col("_h").eqNullSafe(F.col("_host")))
         .filter(F.col("_held") > line_share * F.col("_all"))
-        .select("_host", "_line")
+        .select("_host", "_line", "_held", "_all")
+    )
+
+
+def _once_a_family(holding: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    """_host, _line of the candidates that stay above the limits when a family of texts counts once."""
+    texts = holding.groupBy("_host", "_text").agg(
+        (2 * F.sum("_n") > F.max("_words")).alias("_most"),
+        F.min(F.struct("_held", "_line"))["_line"].alias("_rarest"),
+        F.max("_all").alias("_all"),
+        F.collect_list("_line").alias("_in"),
     )
+    one = F.when(F.col("_most"), F.col("_rarest")).otherwise(F.col("_text"))
+    units = texts.select("_host", "_all", "_most", one.alias("_one"), F.explode("_in").alias("_line")).distinct()
+    held = units.groupBy("_host", "_line").agg(F.count("*").alias("_held"), F.max("_all").alias("_all"))
+    return held.filter((F.col("_held") > line_texts) & (F.col("_held") > line_share * F.col("_all"))).select("_host", "_line")
+
+
+def _candidate_holding(docs: DataFrame, lines: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+    some = common.materialize(_candidates(docs, lines, line_texts, line_share), "candidate-lines")
+    return common.materialize(_holding(lines, some), "candidate-holding")
+
+
+def frequent_lines(docs: DataFrame, lines: DataFrame | None = None, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
+    """_host, _line of the lines above the limits, a family of near copies counted once."""
+    held = common.materialize(_lines(docs), "lines") if lines is None else lines
+    return _once_a_family(_candidate_holding(docs, held, line_texts, line_share), line_texts, line_share)
 
 
 def _worn(docs: DataFrame, frequent: DataFrame | None) -> DataFrame:
     """_host, _text, _cut (boilerplate lines), _gone (share of its words): one row per distinct text with a frequent line."""
     lines = common.materialize(_lines(docs), "lines")  # hashes and numbers; counted once, then looked up
-    frequent = common.materialize(frequent_lines(docs, lines) if frequent is None else frequent, "frequent-lines")
-    often = common.small(frequent.withColumn("_often", F.lit(True)), frequent.count())
-    lines = lines.withColumnsRenamed({"_host": "_h", "_line": "_l"})
-    lines = lines.join(often, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_l") == F.col("_line")), "left")
-    often = F.coalesce(F.col("_often"), F.lit(False))
-    out = lines.groupBy("_h", "_text").agg(
-        F.collect_set(F.when(often, F.col("_l"))).alias("_cut"),
-        (F.sum(F.when(often, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("_gone"),
-    )
-    return out.filter(F.col("_gone") > 0).withColumnRenamed("_h", "_host")
+    if frequent is None:
+        lines = _candidate_holding(docs, lines, LINE_TEXTS, LINE_SHARE)
+        frequent = _once_a_family(lines, LINE_TEXTS, LINE_SHARE)
+    held = _holding(lines, common.materialize(frequent, "frequent-lines"))
+    return held.groupBy("_host", "_text").agg(F.collect_set("_line").alias("_cut"), (F.sum("_n") / F.max("_words")).alias("_gone"))
 
 
 def _depleted() -> Column:

@@ -80,6 +80,18 @@ def test_near_copies_are_not_boilerplate(spark):
     assert quality.judge(df).filter("not kept").count() == 0
 
 
+def test_boilerplate_of_a_twentieth_beside_near_copies(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    body = [own(10) for _ in range(40)]
+    rows = [(k, f"{own(40)}\nall rights are reserved" if k < 30 else own(40), "h") for k in range(500)]
+    for k in range(60):  # every copy lacks another line and ends on its own words
+        rows.append((1000 + k, "\n".join(body[: k % 40] + body[k % 40 + 1 :] + [f"all rights are reserved\n{own(3)}"]), "h"))
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r.text for r in quality.filter_documents(df).collect()}
+    assert got == {i: t.replace("\nall rights are reserved", "") for i, t, _ in rows}
+
+
 def test_frequent_lines(spark):
     rows = line_docs()
     df = spark.createDataFrame(rows, "doc_id int, text string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars", "1 as n_words")
