@@ -9,6 +9,8 @@ from ..session import materialize, shared_dir, ship  # noqa: F401  for the opera
 
 #: Rows of at most a few dozen bytes that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 250_000
+#: The same for tables whose rows have no bound: their summed bytes.
+BROADCAST_BYTES = 16_000_000
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

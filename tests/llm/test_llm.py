@@ -291,7 +291,7 @@ def test_warc_round_trip(spark, tmp_path):
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x="</p><p>no";</script></head><body><div id="cookie-notice">We use cookies</div><header><h1>Site</h1></header>
 <ul class="menu"><li><a href=x>Home</a><li><a>More</a></ul><div id="content"><h1>Head &amp; line {k}</h1><p>One<br>two <b>bold<p class="ad-box">buy</p><p>Three  &#233;
 x<ul><li>a{k}<li>b</ul><!-- <p>gone</p> --><div class="comments"><p>nice</p></div></div><aside>side</aside><form><label>name</label><input></form><footer>f</footer></body></html>"""
-PLAIN = "<body><div class=top>My site</div><table><tr><td>Cell words {k} that vary</td></tr></table><p>Long text number {k} with words</p><div><a href=x>all links {k}</a></div><div>All rights kept</div></body>"
+PLAIN = "<body><div class=top>My site</div><table><tr><td>Cell words {k} that vary</td></tr></table><p>Long text number {k} with words</p><ul><li><a href=x>one {k}</a><li><a href=y>two</a><li><a href=z>three</a></ul><div>All rights kept</div></body>"
 
 
 def test_extraction(spark):
@@ -312,18 +312,122 @@ def test_extraction(spark):
 ])
 def test_chrome_inside_the_article(chrome):
     html = f"<html><body><article><h1>Title</h1><p>First</p>{chrome.format('chrome')}<p>Second</p></article></body></html>"
-    assert [b[1] for b in wrapper.blocks(html)] == ["Title", "First", "Second"]
+    assert [b.text for b in wrapper.blocks(html) if b.token.startswith("M|")] == ["Title", "First", "Second"]
+
+
+def wrapped(pages: list[str], whole=True) -> list[str]:
+    """One host, without Spark: every stream at once, or its wrappers merged from single streams."""
+    kept = [wrapper.page(p) for p in pages]
+    by = {}
+    for stream, found, slots in kept:
+        if found:
+            own = wrapper.page_stats(found, slots)
+            by[stream] = [wrapper.merged(a, b) for a, b in zip(by[stream], own, strict=True)] if stream in by else own
+    parts = [(s.split("\n"), st) for s, st in by.items()]
+    tokens, stats = wrapper.infer(parts if whole else [wrapper.infer([x]) for x in parts])
+    fates, out = wrapper.decide(tokens, stats), []
+    for stream, found, slots in kept:
+        fate = wrapper.match(stream.split("\n"), tokens, fates) if found else ""
+        last = {s: k for k, s in enumerate(slots)}
+        out.append("\n\n".join(b.text for k, (b, s) in enumerate(zip(found, slots, strict=True)) if fate[s] != "0" and not (fate[s] in "24" and s not in slots[:k]) and not (fate[s] in "34" and last[s] == k)))
+    return out
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p title=it's>Hello</p><p>Don't go</p>", "Hello\n\nDon't go"), ("<p>One</p><svg class=i/><p>Two</p>", "One\n\nTwo"), ("<body><a name=top><p>Long text</p>", "Long text"), ('<p class="x>Hello', "Hello"),
+    ("<div><p><a href=x>A whole sentence</a></p><p>Other.</p></div>", "A whole sentence\n\nOther."), ("<article><section id=discussion><p>We found it.</p></section></article>", "We found it."),
+    ("<p>a<textarea>b<p>c", "ab\n\nc"), ("<p>a</p><title/><p>b</p>", "a\n\nb"), ("<p>a<script>b<p>c", "a"), ("<p>x &lt; y &amp; z</p>", "x < y & z"), ("a < b <c", "a < b"), ("<p a='>'>q</p>", "q"),
+])
+def test_markup_loses_no_text(html, want):
+    assert wrapped([html]) == [want]
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-networks", "navajo", "commentary", "socialism", "modality", "promotes-x", "navy", "alert-levels", "search-trees", "related-work"])
+def test_topics_are_not_chrome(name):
+    for html in (f"<article><h2 id={name}>Topic</h2><p>Words</p></article>", f"<article><h2>Topic</h2><section id={name}><p>Words</p></section></article>", f"<div class={name}><h2>Topic</h2><p>Words</p></div>"):
+        assert wrapped([html]) == ["Topic\n\nWords"]
+
+
+def test_verbatim_copies_prove_no_template():
+    own = "<html><body><div class=text><h1>{0}</h1><p>Some words of {0}</p></div></body></html>"
+    copy = "<html><body><div class=text><h2>Agency news</h2><blockquote>The story as it was sent out</blockquote></div></body></html>"
+    pages = [own.format(f"page {k}") for k in range(5)] + [copy] * 3
+    assert wrapped(pages) == [f"page {k}\n\nSome words of page {k}" for k in range(5)] + ["Agency news\n\nThe story as it was sent out"] * 3
+
+
+def test_constant_texts_go_whatever_their_names_say():
+    html = "<article><h1>On {0}</h1><div class=zzz><p>Read our new magazine</p></div><p>First of {0}</p><p>Second of {0}</p><p>All words are ours</p></article>"
+    assert wrapped([html.format(k) for k in range(20)]) == [f"On {k}\n\nFirst of {k}\n\nSecond of {k}" for k in range(20)]
+    assert "Read our new magazine" in wrapped([html.format(k) for k in range(4)])[0]  # too few pages against a main region
+
+
+def test_prose_stays_where_names_would_leave_nothing():
+    html = "<div class=widget><p>{0}</p></div><nav><a href=x>Home {1}</a></nav>"
+    assert wrapped([html.format(f"{k} long prose " * 30, k) for k in range(3)]) == [(f"{k} long prose " * 30).strip() for k in range(3)]
+
+
+def soup(rng, k, marked):
+    """A page of a made template: optional byline, repeated paragraphs, a menu, turning adverts, a constant notice; with and without telling markup."""
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    main, chrome = ("article", ' class="ad"') if marked else ("div", "")
+    paragraphs = [own(rng.randint(5, 40)) for _ in range(rng.randint(1, 6))]
+    title, byline = own(4), own(2) if rng.random() < 0.5 else None
+    menu = "".join(f"<li><a href=/{i}>part {i + k % 7}</a></li>" for i in range(rng.randint(3, 6)))
+    html = f"<html><body><ul>{menu}</ul><span><section{chrome}>buy thing {k % 3}</section></span><{main}><h1>{title}</h1>" + (f"<h4>{byline}</h4>" if byline else "") + "".join(f"<p>{p}</p>" for p in paragraphs)
+    return html + f"</{main}><table><tr><td>We use small files</td></tr></table></body></html>", [title, *([byline] if byline else []), *paragraphs]
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_precision_and_recall_on_made_templates(marked):
+    rng = random.Random(11)
+    made = [soup(rng, k, marked) for k in range(60)]
+    for whole in (True, False):
+        got = [t.split("\n\n") for t in wrapped([h for h, _ in made], whole)]
+        hits = sum(len(set(g) & set(w)) for g, (_, w) in zip(got, made, strict=True))
+        assert hits == sum(len(w) for _, w in made) == sum(map(len, got))
+
+
+def test_parts_of_a_host_give_the_same_texts(spark):
+    rng = random.Random(12)
+    made = [soup(rng, k, k % 2 == 0) for k in range(120)]
+    df = spark.createDataFrame([(k, "http://hot/", h, "x", "y") for k, (h, _) in enumerate(made)] + [(99, "http://long/", "<article>" + "<p>many words</p>" * 30000 + "</article>", "x", "y")], "page_id int, url string, html string, host string, sig string")
+    want = {k: "\n\n".join(w) for k, (_, w) in enumerate(made)} | {99: "\n\n".join(["many words"] * 30000)}
+    for size in (wrapper.PART_TOKENS, 12):
+        assert {r.page_id: r.text for r in wrapper.extract(df, size).collect()} == want
 
 
 def test_layout_names_are_not_chrome():
     html = '<body class="home nav-open"><div class="page has-sidebar no-footer"><p>Words</p></div></body>'
-    assert [b[1] for b in wrapper.blocks(html)] == ["Words"]
+    assert wrapped([html]) == ["Words"]
 
 
-def test_folding_and_alignment():
+def test_folding():
     assert wrapper.fold(list("abbbcdcdcde")) == (["a", "b+", "c+", "d+", "e"], [0, 1, 1, 1, 2, 3, 2, 3, 2, 3, 4])
-    places = wrapper.infer([(list("abc"), []), (list("abxc"), []), (["a", "x", "c"], [])])
-    assert places[1] == [places[0][0], places[0][1], places[1][2], places[0][2]] and places[2][1] == places[1][2]
+
+
+def test_wrappers_hold_their_streams():
+    """Against brute force: matches are common subsequences, the longest where no token repeats; a wrapper holds each stream in order."""
+    rng = random.Random(6)
+
+    def longest(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        pairs = wrapper.align(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        a, b = (rng.sample("abcdefghij", rng.randint(0, 9)) for _ in range(2))
+        assert len(wrapper.align(a, b)) == longest(a, b)
+        streams = [rng.sample("abcdefgh", rng.randint(1, 6)) for _ in range(4)]
+        tokens, stats = wrapper.infer([(s, [[1] * 12 for _ in s]) for s in streams])
+        for s in streams:
+            rest = iter(tokens)
+            assert all(x in rest for x in s)
+        assert sum(x[0] for x in stats) == sum(map(len, streams))
 
 
 # classifiers
