@@ -55,14 +55,21 @@ w as (select *, {_WORDS.format('text')} as ws, list_filter(string_split(text, ch
 g as (select rn, i, list_slice(ws, i, i + 7) as win from (select rn, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8) x),
 h as (select rn, i, count(*) over (partition by rn, win) as c from g),
 rep as (select rn, count(*) as n from (select distinct rn, unnest(range(i, i + 8)) as p from h where c > 1) x group by rn),
-lk as (select source, text, key, sum(len(key)) as n from (select source, text, {_WORDS.format("unnest(string_split(translate(text, '" + _UPPER + "', '" + _LOWER + "'), chr(10)))")} as key from w) x where len(key) > 0 group by source, text, key),
-nt as (select source, count(distinct text) as n_all from d group by source),
-fr as (select k.source, k.key from (select source, key, count(*) as c from lk group by source, key) k join nt on k.source is not distinct from nt.source where c > {quality.LINE_TEXTS} and c > {quality.LINE_SHARE} * n_all),
+u as (select source, text, count(*) as docs from d group by source, text),
+ln as (select source, text, docs, unnest(string_split(translate(text, '{_UPPER}', '{_LOWER}'), chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i from u),
+lk as (select source, text, max(docs) as docs, key, min(i) as pos, sum(len(key)) as n from (select *, {_WORDS.format('line')} as key from ln) x where len(key) > 0 group by source, text, key),
+nt as (select source, count(*) as n_texts, sum(docs) as n_docs from u group by source),
+ca as (select k.source, k.key, held, n_texts from (select source, key, count(*) as held, sum(docs) as by_docs from lk group by source, key) k join nt on k.source is not distinct from nt.source where by_docs > {quality.LINE_DOCS} and by_docs > {quality.LINE_SHARE} * n_docs),
+al as (select source, text, sum(n) as words from lk group by source, text),
+ho as (select lk.source, lk.text, lk.key, n, pos, held, n_texts from lk join ca on lk.source is not distinct from ca.source and lk.key = ca.key),
+fa as (select ho.source, ho.text, 2 * sum(n) > max(words) as most, arg_min(cast(key as varchar), (held, pos)) as rarest from ho join al on ho.source is not distinct from al.source and ho.text = al.text group by ho.source, ho.text),
+un as (select distinct ho.source, key, n_texts, most, case when most then rarest else ho.text end as one from ho join fa on ho.source is not distinct from fa.source and ho.text = fa.text),
+fr as (select source, key from un group by source, key having count(*) > {quality.LINE_DOCS} and count(*) > {quality.LINE_SHARE} * max(n_texts)),
 gone as (select lk.source, lk.text, sum(case when fr.key is not null then n else 0 end) / sum(n) as gone from lk left join fr on lk.source is not distinct from fr.source and lk.key = fr.key group by lk.source, lk.text),
 b as (select doc_id, source, text, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars,
  cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from w left join rep using (rn)),
 c as (select b.*, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, coalesce(gone, 0) as removed_share from b left join gone on b.source is not distinct from gone.source and b.text = gone.text)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (removed_share > {quality.DEPLETED_SHARE} and round(n_words * (1 - removed_share)) < {quality.LEFT_WORDS}) as kept, removed_share from c
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (removed_share > {quality.DEPLETED_SHARE} or removed_share > 0 and round(n_words * (1 - removed_share)) < {quality.LEFT_WORDS}) as kept, removed_share from c
 """
 
 OP8 = f"""

@@ -1,20 +1,20 @@
 """Quality rules: cross-document line frequency, with per-document counts.
 
 Lines are normalised (trimmed, A-Z folded, white space runs to one space) and
-hashed; for each host (``documents.source``) the distinct texts holding a line
-are counted.  Lines above the host's limit are boilerplate: they are removed,
-and a document left with too little of its own is rejected.  A large family of
-near copies of one text must not make its own lines boilerplate, or none of it
-would be left to keep.  So lines above the limit are counted again: texts that
-have most of their words in such lines, and the same least common one of them,
-are a family, and a family counts once.
+hashed; for each host (``documents.source``) the documents holding a line are
+counted.  Lines above the host's limits are boilerplate: they are removed, and
+a document left with too little of its own is rejected.  Copies of one text must
+not make its own lines boilerplate, or none of them would be left to keep (which
+of them stays is for deduplication to say).  So lines above the limits by
+documents are counted again: texts that have most of their words in such lines,
+and the same least common one of them (of several the first in the text), are a
+family, and a family, like a text that several documents repeat, counts once.
 
 Defined cases.  A null text has no words, no lines, and fails the base rules.
-A null source is a host of its own.  Byte-identical texts of a host count once
-(verbatim copies are for deduplication to judge), so repeated rows change
-nothing and get equal results.  Ties at a limit are not above it.  An empty
-table gives an empty result.  Extra columns pass through :func:`filter_documents`
-and are ignored by :func:`judge`.
+A null source is a host of its own.  Repeated rows count as documents of one
+text, so they change nothing and get equal results.  Ties at a limit are not
+above it.  An empty table gives an empty result.  Extra columns pass through
+:func:`filter_documents` and are ignored by :func:`judge`.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate when over both this many distinct texts of its host ...
-LINE_TEXTS = 20
+#: A line is boilerplate when over both this many documents of its host ...
+LINE_DOCS = 5
 #: ... and this share of them hold it.
 LINE_SHARE = 0.01
-#: A document is depleted when over this share of its words, and all but so many of them, were boilerplate.
-DEPLETED_SHARE = 0.9
+#: A document is depleted when over this share of its words was boilerplate, or when it is left with fewer words than so many, the least of the base rules.
+DEPLETED_SHARE = 0.8
 LEFT_WORDS = 20
 
 
@@ -76,12 +76,15 @@ def base_failed() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_host, _text (its hash), _line, _n (the words in it), _words (those of the text) for each distinct non-blank line of each distinct text of a host."""
+    """One row per distinct non-blank line of each distinct text of a host: _host, _text (its hash), _line, _pos (its first place), _n (words in it, over its repeats), _words (those of the text), _docs (documents with the text)."""
     split = F.transform(F.split(common.ascii_lower(F.coalesce(F.col("text"), F.lit(""))), "\n", -1), common.words)
-    line = F.transform(F.filter(split, lambda w: F.size(w) > 0), lambda w: F.struct(F.xxhash64(w).alias("_line"), F.size(w).alias("_n")))
-    rows = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), line.alias("_x"))
-    rows = rows.withColumn("_words", F.aggregate("_x", F.lit(0), lambda a, x: a + x["_n"])).withColumn("_x", F.explode("_x")).select("_host", "_text", "_words", "_x.*")
-    return rows.groupBy("_host", "_text", "_line").agg(F.sum("_n").alias("_n"), F.max("_words").alias("_words"))
+    line = F.transform(F.filter(split, lambda w: F.size(w) > 0), lambda w, i: F.struct(F.xxhash64(w).alias("_line"), i.alias("_pos"), F.size(w).alias("_n")))
+    rows = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text"), F.sort_array(line).alias("_x"))
+    rows = rows.withColumn("_words", F.aggregate("_x", F.lit(0), lambda a, x: a + x["_n"]))
+    first = F.transform("_x", lambda x, i: F.struct(x["_line"].alias("_line"), x["_pos"].alias("_pos"), x["_n"].alias("_n"), (~F.get("_x", i - 1)["_line"].eqNullSafe(x["_line"])).cast("long").alias("_docs")))
+    rows = rows.withColumn("_x", F.explode(first)).select("_host", "_text", "_words", "_x.*")
+    rows = rows.groupBy("_host", "_text", "_line").agg(F.min("_pos").alias("_pos"), F.sum("_n").alias("_n"), F.max("_words").alias("_words"), F.sum("_docs").alias("_docs"))
+    return rows.withColumn("_n", (F.col("_n") / F.col("_docs")).cast("long"))
 
 
 def _holding(lines: DataFrame, some: DataFrame) -> DataFrame:
@@ -90,56 +93,57 @@ def _holding(lines: DataFrame, some: DataFrame) -> DataFrame:
     return lines.join(some, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_l") == F.col("_line"))).drop("_h", "_l")
 
 
-def _candidates(docs: DataFrame, lines: DataFrame, line_texts: int, line_share: float) -> DataFrame:
-    """_host, _line, _held, _all of the lines above the limits by texts.  Counts pre-aggregate on both sides of each exchange, so a hot host or line is one row a task."""
-    texts = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    held = lines.groupBy("_host", "_line").agg(F.count("*").alias("_held")).filter(F.col("_held") > line_texts)
+def _candidates(docs: DataFrame, lines: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    """_host, _line, _held, _all (texts) of the lines above the limits by documents.  Counts pre-aggregate on both sides of each exchange, so a hot host or line is one row a task."""
+    texts = docs.select(F.col("source").alias("_host"), F.xxhash64("text").alias("_text")).groupBy("_host", "_text").agg(F.count("*").alias("_docs"))
+    texts = texts.groupBy("_host").agg(F.count("*").alias("_all"), F.sum("_docs").alias("_every"))
+    held = lines.groupBy("_host", "_line").agg(F.count("*").alias("_held"), F.sum("_docs").alias("_by")).filter(F.col("_by") > line_docs)
     return (
         held.withColumnRenamed("_host", "_h")
         .join(texts, F.col("_h").eqNullSafe(F.col("_host")))
-        .filter(F.col("_held") > line_share * F.col("_all"))
+        .filter(F.col("_by") > line_share * F.col("_every"))
         .select("_host", "_line", "_held", "_all")
     )
 
 
-def _once_a_family(holding: DataFrame, line_texts: int, line_share: float) -> DataFrame:
+def _once_a_family(holding: DataFrame, line_docs: int, line_share: float) -> DataFrame:
     """_host, _line of the candidates that stay above the limits when a family of texts counts once."""
     texts = holding.groupBy("_host", "_text").agg(
         (2 * F.sum("_n") > F.max("_words")).alias("_most"),
-        F.min(F.struct("_held", "_line"))["_line"].alias("_rarest"),
+        F.min(F.struct("_held", "_pos", "_line"))["_line"].alias("_rarest"),
         F.max("_all").alias("_all"),
         F.collect_list("_line").alias("_in"),
     )
     one = F.when(F.col("_most"), F.col("_rarest")).otherwise(F.col("_text"))
     units = texts.select("_host", "_all", "_most", one.alias("_one"), F.explode("_in").alias("_line")).distinct()
     held = units.groupBy("_host", "_line").agg(F.count("*").alias("_held"), F.max("_all").alias("_all"))
-    return held.filter((F.col("_held") > line_texts) & (F.col("_held") > line_share * F.col("_all"))).select("_host", "_line")
+    return held.filter((F.col("_held") > line_docs) & (F.col("_held") > line_share * F.col("_all"))).select("_host", "_line")
 
 
-def _candidate_holding(docs: DataFrame, lines: DataFrame, line_texts: int, line_share: float) -> DataFrame:
-    some = common.materialize(_candidates(docs, lines, line_texts, line_share), "candidate-lines")
+def _candidate_holding(docs: DataFrame, lines: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+    some = common.materialize(_candidates(docs, lines, line_docs, line_share), "candidate-lines")
     return common.materialize(_holding(lines, some), "candidate-holding")
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame | None = None, line_texts: int = LINE_TEXTS, line_share: float = LINE_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, lines: DataFrame | None = None, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """_host, _line of the lines above the limits, a family of near copies counted once."""
     held = common.materialize(_lines(docs), "lines") if lines is None else lines
-    return _once_a_family(_candidate_holding(docs, held, line_texts, line_share), line_texts, line_share)
+    return _once_a_family(_candidate_holding(docs, held, line_docs, line_share), line_docs, line_share)
 
 
 def _worn(docs: DataFrame, frequent: DataFrame | None) -> DataFrame:
     """_host, _text, _cut (boilerplate lines), _gone (share of its words): one row per distinct text with a frequent line."""
     lines = common.materialize(_lines(docs), "lines")  # hashes and numbers; counted once, then looked up
     if frequent is None:
-        lines = _candidate_holding(docs, lines, LINE_TEXTS, LINE_SHARE)
-        frequent = _once_a_family(lines, LINE_TEXTS, LINE_SHARE)
+        lines = _candidate_holding(docs, lines, LINE_DOCS, LINE_SHARE)
+        frequent = _once_a_family(lines, LINE_DOCS, LINE_SHARE)
     held = _holding(lines, common.materialize(frequent, "frequent-lines"))
     return held.groupBy("_host", "_text").agg(F.collect_set("_line").alias("_cut"), (F.sum("_n") / F.max("_words")).alias("_gone"))
 
 
 def _depleted() -> Column:
     gone = F.coalesce(F.col("_gone"), F.lit(0.0))
-    return (gone > DEPLETED_SHARE) & (F.round(F.col("n_words") * (1 - gone)) < LEFT_WORDS)
+    return (gone > DEPLETED_SHARE) | ((gone > 0) & (F.round(F.col("n_words") * (1 - gone)) < LEFT_WORDS))
 
 
 def judge(docs: DataFrame, frequent: DataFrame | None = None) -> DataFrame:

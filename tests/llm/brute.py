@@ -38,20 +38,35 @@ def line_key(line):
     return tuple(words(line.translate(UP)))
 
 
-def quality(docs, texts, share, depleted, left):
+def quality(docs, limit, share, depleted, left):
     """docs: (doc_id, text, source). (kept, text) per row."""
-    held, every = defaultdict(set), defaultdict(set)
-    for _, t, s in docs:
-        every[s].add(t)
-        for x in (t or "").split("\n"):
-            if line_key(x):
-                held[s, line_key(x)].add(t)
-    often = {k for k, v in held.items() if len(v) > texts and len(v) > share * len(every[k[0]])}
+    copies = Counter((s, t) for _, t, s in docs)
+    lines = {}  # per text of a host: line -> first place, words
+    for s, t in copies:
+        lines[s, t] = own = {}
+        for k, x in enumerate(y for y in (t or "").split("\n") if line_key(y)):
+            at, n = own.get(line_key(x), (k, 0))
+            own[line_key(x)] = at, n + len(line_key(x))
+    by_docs, held = Counter(), Counter()
+    for (s, t), own in lines.items():
+        for key in own:
+            by_docs[s, key] += copies[s, t]
+            held[s, key] += 1
+    every, texts = Counter(s for _, _, s in docs), Counter(s for s, _ in copies)
+    some = {k for k, n in by_docs.items() if n > limit and n > share * every[k[0]]}
+    units = defaultdict(set)
+    for (s, t), own in lines.items():
+        mine = {k: v for k, v in own.items() if (s, k) in some}
+        most = 2 * sum(n for _, n in mine.values()) > sum(n for _, n in own.values())
+        one = min(mine, key=lambda k: (held[s, k], mine[k][0])) if most else t
+        for k in mine:
+            units[s, k].add((most, one))
+    often = {k for k, v in units.items() if len(v) > limit and len(v) > share * texts[k[0]]}
     out = []
     for _, t, s in docs:
         n = len(words(t))
         gone = sum(len(line_key(x)) for x in (t or "").split("\n") if (s, line_key(x)) in often) / n if n else 0
-        kept = not failed(t) and not (gone > depleted and round(n * (1 - gone)) < left)
+        kept = not failed(t) and not (gone > depleted or gone and round(n * (1 - gone)) < left)
         out.append((kept, "\n".join(x for x in t.split("\n") if (s, line_key(x)) not in often) if t and gone else t))
     return out
 
