@@ -1,16 +1,20 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path``.  Its literal tokens (runs
-of letters and digits that every match holds whole) are counted over all URLs,
-and the rule is indexed under the rarest; a URL's own tokens fetch the candidate
-rules, and only those run.  Rules without a literal token run on every URL.
+of letters and digits that every match holds whole, A-Z folded, so that a rule
+may ignore case) are counted over all URLs, and the rule is indexed under the
+rarest; a URL's own tokens fetch the candidate rules, and only those run.  Rules
+without a literal token are fetched by every URL.  The index is a table that is
+joined, so a list of any length will do: a URL's row in the shuffle, if the
+list or the verdicts are too many to broadcast, is its key and a rule.
 
 The longest rule that fits decides (list rules before pattern rules); nothing
 fitting means allow.  Defined cases.  A null URL, or one without ``://``, has
 an empty host and path and is allowed.  Of rules of equal length, block wins,
 then the smaller text.  Repeated rows are judged alike, each on its own row.
-An empty table gives an empty result.  Extra columns pass through :func:`judge`;
-those named like its results are replaced.
+An empty table, or an empty list, gives an empty result, or allows everything.
+Long URLs are read whole.  Extra columns pass through :func:`judge`; those named
+like its results are replaced.
 """
 
 from __future__ import annotations
@@ -54,7 +58,12 @@ RULES = LISTED + PATTERNS
 
 
 def literal_tokens(pattern: str) -> list[str]:
-    """Whole tokens that each match holds: literal runs with a literal non-token character, or the start, on both sides."""
+    """Whole tokens, A-Z folded, that each match holds: literal runs with a literal non-token character, or the start, on both sides.
+
+    None where letters may stand for others than A-Z and a-z (the flag u), or where the flag x changes what is literal.
+    """
+    if re.match(r"\(\?[a-z]*[ux]", pattern):
+        return []
     flat = ""
     for op, av in re._parser.parse(pattern):
         name = str(op)
@@ -68,7 +77,10 @@ def literal_tokens(pattern: str) -> list[str]:
             flat = "^"
         else:
             flat += "\0"
-    return sorted(set(re.findall(r"(?<=[^\0A-Za-z0-9])[A-Za-z0-9]+(?=[^\0A-Za-z0-9])", flat)))
+    return sorted({t.translate(_FOLD) for t in re.findall(r"(?<=[^\0A-Za-z0-9])[A-Za-z0-9]+(?=[^\0A-Za-z0-9])", flat)})
+
+
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _ends_apart(items) -> bool:
@@ -85,41 +97,38 @@ def path(url: Column) -> Column:
 
 
 def _tokens(key: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.regexp_replace(key, "[^A-Za-z0-9]+", " "), " "), ""))
+    """The tokens of a URL, and the empty one, under which rules without a token stand."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.regexp_replace(common.ascii_lower(key), "[^a-z0-9]+", " "), " ")))
 
 
-def index(urls: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rules with ``_token``, the rarest of their tokens over all of ``urls._tokens`` (null: none)."""
-    spark = urls.sparkSession
+def index(tokens: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rules with ``_token``, the rarest of their tokens over all rows of ``tokens._name`` (the empty one: no token)."""
+    spark = tokens.sparkSession
     rows = spark.createDataFrame([(k, *r, literal_tokens(r.pattern)) for k, r in enumerate(rules)], "_rule int, rule string, verdict string, _pattern string, _listed int, _of array<string>")
     own = rows.select("_rule", F.explode("_of").alias("_name"))
-    names = F.broadcast(own.select("_name").distinct())  # bounded by the rule list
-    seen = urls.select(F.explode("_tokens").alias("_name")).join(names, "_name", "left_semi").groupBy("_name").agg(F.count("*").alias("_seen"))
-    best = own.join(F.broadcast(seen), "_name", "left").groupBy("_rule").agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_name").alias("t")))["t"].alias("_token"))
-    return rows.join(best, "_rule", "left").drop("_of")
+    names = own.select("_name").distinct()
+    seen = tokens.join(common.small(names, len(rules)), "_name", "left_semi").groupBy("_name").agg(F.count("*").alias("_seen"))
+    best = own.join(seen, "_name", "left").groupBy("_rule").agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_name").alias("t")))["t"].alias("_token"))
+    return rows.join(best, "_rule", "left").withColumn("_token", F.coalesce("_token", F.lit(""))).drop("_of", "_rule")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``pages`` plus host, path, rule (of the list; else null), verdict, matched (the deciding rule of either kind).
+def fits(keys: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """_k (a key that some rule fits) and _fit, its deciding rule, for the distinct ``keys._key``."""
+    tokens = keys.select("_key", F.explode(_tokens(F.col("_key"))).alias("_name"))
+    table = common.materialize(index(tokens, rules), "url-rules")
+    met = tokens.join(common.small(table, len(rules), 50_000), F.col("_name") == F.col("_token"))
+    met = met.filter(F.regexp_like("_key", "_pattern"))
+    order = F.struct(F.col("_listed").alias("l"), F.length("rule").alias("n"), (F.col("verdict") == "block").cast("int").alias("b"), "rule", "verdict")
+    return met.groupBy(F.col("_key").alias("_k")).agg(F.max(order).alias("_fit"))
 
-    The index stays the size of the rule list, so it is broadcast as one array
-    per token and each URL is judged in place, without a shuffle.
-    """
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``pages`` plus host, path, rule (of the list; else null), verdict, matched (the deciding rule of either kind)."""
     rows = pages.select(F.struct("*").alias("_row"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    rows = rows.withColumn("_key", F.concat("host", "path")).withColumn("_tokens", _tokens(F.col("_key")))
-    table = index(rows.select("_tokens"), rules).collect()  # one row per rule
-    entry = lambda r: F.struct(F.lit(r["_listed"]).alias("l"), F.lit(len(r["rule"])).alias("n"), F.lit(int(r["verdict"] == "block")).alias("b"), F.lit(r["rule"]).alias("rule"), F.lit(r["verdict"]).alias("verdict"), F.lit(r["_pattern"]).alias("p"))
-    by_token: dict[str, list] = {}
-    always = []
-    for r in table:
-        (by_token.setdefault(r["_token"], []) if r["_token"] else always).append(entry(r))
-    none = F.array().cast("array<struct<l:int,n:int,b:int,rule:string,verdict:string,p:string>>")
-    rows = rows.withColumn("_all", F.array(*always) if always else none)
-    if by_token:
-        postings = F.create_map(*[x for t, es in sorted(by_token.items()) for x in (F.lit(t), F.array(*es))])
-        fetched = F.flatten(F.transform(F.filter("_tokens", lambda t: t.isin(sorted(by_token))), lambda t: F.element_at(postings, t)))
-        rows = rows.withColumn("_all", F.concat("_all", fetched))
-    rows = rows.withColumn("_fit", F.array_max(F.filter("_all", lambda x: F.regexp_like(F.col("_key"), x["p"]))))
+    rows = rows.withColumn("_key", F.concat("host", "path"))
+    found = common.materialize(fits(rows.select("_key"), rules), "url-fits")
+    weight = found.agg(F.sum(F.length("_k") + F.length("_fit.rule") + 40)).first()[0] or 0
+    rows = rows.join(F.broadcast(found) if weight <= common.BROADCAST_BYTES else found, F.col("_key") == F.col("_k"), "left")
     new = {
         "host": F.col("host"), "path": F.col("path"), "rule": F.when(F.col("_fit.l") == 1, F.col("_fit.rule")),
         "verdict": F.coalesce(F.col("_fit.verdict"), F.lit("allow")), "matched": F.col("_fit.rule"),
