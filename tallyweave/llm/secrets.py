@@ -2,11 +2,12 @@
 
 Each rule's regular expression is turned into a Boolean trigram query: an AND
 of clauses, each an OR of alternatives, each an AND of trigrams that any match
-must hold (A-Z folded).  The index keeps, for the trigrams that some query
-names, which documents hold them.  It is sharded by document: a row carries its
-own slice of every posting list, so intersecting postings needs no shuffle and
-a scan of 100 TB reads each text once and moves none.  Only the candidate rules
-run on a document; rules without mandatory trigrams scan fully.
+must hold (A-Z folded).  The index keeps, for the trigrams that some query names,
+which documents hold them.  It is sharded by document, each its own shard: one
+pass over a text collects the named trigrams it holds, which are its entries in
+all posting lists, and the queries intersect them in place.  So the postings are
+never stored or moved, and a scan of 100 TB reads each text once.  Only the
+candidate rules run on a document; rules without mandatory trigrams scan fully.
 
 Defined cases.  Null texts are empty; an empty text has no spans.  Offsets are
 code points, end exclusive.  Spans of one kind never overlap; spans of different
@@ -126,21 +127,28 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return clauses
 
 
+def _any_of(trigrams: list[str]) -> str:
+    """A pattern of the trigrams as a tree by their first letters: no letter is tried twice."""
+    tree: dict[str, dict[str, list[str]]] = {}
+    for t in trigrams:
+        tree.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    one = lambda chars: "[" + "".join(re.escape(c) for c in chars) + "]"
+    return "|".join(re.escape(a) + "(?:" + "|".join(re.escape(b) + one(cs) for b, cs in at.items()) + ")" for a, at in tree.items())
+
+
 def candidates(rules: tuple[Rule, ...] = RULES) -> tuple[Column, list[Column]]:
-    """The document's slice of the postings, from its folded text ``_low``, and per rule whether its query holds there, from the slice ``_post``."""
+    """The document's entries in the postings, from its folded text ``_low``, and per rule whether its query holds there, from the entries ``_post``."""
     queries = [trigram_query(r.pattern) for r in rules]
     named = sorted({t for q in queries for c in q for alt in c for t in alt})
-    post = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), t) for t in named])) if named else F.array().cast("array<string>")
+    post = F.array_distinct(F.regexp_extract_all("_low", F.lit(f"(?=({_any_of(named)}))"), F.lit(1))) if named else F.array().cast("array<string>")
+    meets = lambda alt: F.size(F.array_intersect("_post", F.array(*map(F.lit, alt)))) == len(alt)
     holds = []
     for q in queries:
         ok = F.lit(True)
         for clause in q:
             any_of = F.lit(False)
             for alt in clause:
-                all_of = F.lit(True)
-                for t in alt:
-                    all_of = all_of & F.array_contains(F.col("_post"), t)
-                any_of = any_of | all_of
+                any_of = any_of | meets(alt)
             ok = ok & any_of
         holds.append(ok)
     return post, holds

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyweave.llm import catalog, common, components, crf, decontaminate, fm, jaccard, mixing, quality, secrets, textkernel, urlfilter, warc, wrapper
@@ -261,6 +262,23 @@ def test_added_rules_and_masks(spark):
     assert out[2].text == "clean" and out[2].n_chars == 5 and out[3].text is None
 
 
+def test_long_text_and_clashing_columns(spark):
+    text = "über kein geheimnis " * 20000 + "token=abcdefgh9 " + "x" * 200000
+    df = spark.createDataFrame([(1, text, "a", "b", "c")], "doc_id int, text string, _low string, _post string, _s0 string")
+    at = len("über kein geheimnis ") * 20000
+    assert secrets.find(df).first().spans == f"assign:{at}:{at + 15}"
+    out = secrets.redact(df)
+    assert out.columns == df.columns and out.first().text == text.replace("token=abcdefgh9", "[SECRET]") and out.first()["_post"] == "b"
+
+
+def test_postings_equal_substrings(spark):
+    rng = random.Random(16)
+    named = ["aki", "kia", "ab.", "a+b", "]x[", "tok", "oke", "ken"]
+    texts = ["".join(rng.choice("akitoen.b+]x[") for _ in range(60)) for _ in range(200)] + ["", "akia", "aakiaki"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?=({secrets._any_of(named)}))"), F.lit(1))).alias("p")).collect()
+    assert all(set(r.p) == {n for n in named if n in r.t} for r in got)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[["aki", "kia"]]]
@@ -285,6 +303,37 @@ def test_urls(spark):
     assert urlfilter.literal_tokens(urlfilter.LISTED[0].pattern) == ["com", "en"] and urlfilter.literal_tokens(r"\d+-\d+") == []
 
 
+def test_rules_that_ignore_case(spark):
+    rules = (urlfilter.Rule("a", "block", "(?i)/ADS/", 0), urlfilter.Rule("b", "block", "(?iu)/straße/", 0), urlfilter.Rule("c", "block", "(?x) / pop up /", 0))
+    assert [urlfilter.literal_tokens(r.pattern) for r in rules] == [["ads"], [], []]
+    urls = ["http://x.com/ads/1", "http://x.com/aDs/1", "http://x.com/STRASSE/", "http://x.com/STRAßE/", "http://x.com/popup/", "http://x.com/a/"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules).orderBy("page_id").collect()
+    assert [r.matched for r in got] == ["a", "a", None, "b", "c", None]
+    assert urlfilter.judge(spark.createDataFrame([(1, "http://x.com/ads/")], "page_id int, url string"), ()).first().verdict == "allow"
+
+
+def test_ten_thousand_rules_equal_a_full_scan(spark, monkeypatch):
+    import re
+
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 3)))
+    rules = [urlfilter.listed(f"{word()}.{word()}/{word()}", rng.choice(("block", "allow"))) for _ in range(5000)]
+    rules += [urlfilter.Rule(p, rng.choice(("block", "allow")), p, 0) for p in {rng.choice((f"/{word()}/{word()}-", f"(?i)/{word().upper()}/", f"{word()}\\d+$", f"^(?:[^/]*\\.)?{word()}\\.")) for _ in range(5000)}]
+    urls = [f"http://{word()}.{word()}.{word()}/{word()}/{word()}{rng.choice(('-', '/', '7', ''))}" for _ in range(150)] + [None, "", "http://" + "a." * 20000 + "b/c"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id int, url string")
+    made = [(r, re.compile(r.pattern)) for r in rules]
+    want = []
+    for u in urls:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        key = m[1].lower() + m[2] if m else ""
+        best = max(((r.listed, len(r.text), r.verdict == "block", r.text) for r, p in made if p.search(key)), default=None)
+        want.append((best[3], "block" if best[2] else "allow") if best else (None, "allow"))
+    for rows, weight in ((common.BROADCAST_ROWS, common.BROADCAST_BYTES), (0, 0)):  # broadcast and shuffled
+        monkeypatch.setattr(common, "BROADCAST_BYTES", weight)
+        monkeypatch.setattr(common, "small", lambda df, n, limit=0, most=rows: F.broadcast(df) if n <= most else df)
+        assert [(r.matched, r.verdict) for r in urlfilter.judge(df, tuple(rules)).orderBy("page_id").collect()] == want
+
+
 # mixing
 
 def test_mix(spark, docs):
