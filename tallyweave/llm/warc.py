@@ -6,17 +6,20 @@ that Spark reaches will do.  A payload seen before is written as a ``revisit``
 that refers to the response with the smallest page_id and carries only the HTTP
 header.  The capture index sorts reversed-host URL keys globally, packs runs of
 them into compressed blocks, and keeps a sparse directory with one row per
-block.  A lookup binary-searches the directory, inflates one block,
-binary-searches its lines, and range-reads the record.  Reading all captures
-back goes through the same blocks: their offsets are cut out of the archives.
+block, in shards as the sort left them.  Looking URLs up, one or a whole table
+of them, binary-searches the shards' ranges and the directory, inflates the
+blocks found, binary-searches their lines, and range-reads the records: by
+positioned reads where the store is one that the workers can open themselves,
+else by whole files of bounded size.
 
 Defined cases.  A null html is an empty payload; payloads of at least
 ``least_bytes`` bytes (0: empty ones too) share a response.  Rows that repeat
 the smallest page_id of a payload are all responses; a null page_id is never
 smallest, and refers to the response like others (its group's rows are all
 responses where no id is set).  A null url is written without target and sorts
-first.  An empty table gives an archive without records and an empty result.
-Extra columns are ignored.
+first.  Very long pages go to files of their own class, so that no file passes
+MOST_BYTES unless one page does.  An empty table gives an archive without
+records and an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,22 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textkernel
 
-FILE_BYTES = 16_000_000
+#: What a file holds on average, what it may hold at most, and the bytes from which a record is a large one.
+FILE_BYTES, MOST_BYTES, LARGE_BYTES = 16_000_000, 1_500_000_000, 1_000_000
 BLOCK_LINES = 512
+#: Keys that one task looks up in one shard, and keys of one block that travel together.
+SHARD_KEYS, BLOCK_KEYS = 200_000, 2_000
+#: Records closer than this are read at once, up to so many bytes.
+GAP_BYTES, SPAN_BYTES = 65_536, 8_000_000
 DATE = "2024-01-01T00:00:00Z"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
@@ -59,6 +69,11 @@ def url_key(url: Column) -> Column:
     return F.regexp_replace(F.coalesce(key, F.lit("")), r"[\r\n\t]", " ")
 
 
+def target(url: Column) -> Column:
+    """The URL as the record states it."""
+    return F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+
+
 def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, bytes and the text of one WARC record (without the blank line that ends it) per page."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_p"))
@@ -71,10 +86,9 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("_p")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
-    target = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     head = F.concat(
         F.lit(f"WARC/1.1{_CRLF}"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", urn(F.col("page_id"))), F.coalesce(line("WARC-Target-URI", target), F.lit("")),
+        line("WARC-Record-ID", urn(F.col("page_id"))), F.coalesce(line("WARC-Target-URI", target(F.col("url"))), F.lit("")),
         line("WARC-Date", F.lit(DATE)), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("_sha")))),
         F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("_lead"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit(_CRLF),
@@ -83,10 +97,15 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write the archives under ``path``, in files of about FILE_BYTES."""
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
-    per_file = max(1, int(FILE_BYTES / (mean + 600)))
-    records(pages, least_bytes).select("value").write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", per_file).text(path)
+    """Write the archives under ``path``, in files of about FILE_BYTES and never over MOST_BYTES, but for a larger single record."""
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1000  # no less than the record's
+    mean, most = pages.agg(F.avg(size), F.max(size)).first()
+    rows = records(pages, least_bytes)
+    small = F.octet_length("value") < LARGE_BYTES
+    out = lambda df, per_file, mode: df.select("value").write.mode(mode).option("lineSep", _CRLF * 2).option("maxRecordsPerFile", max(1, int(per_file))).text(path)
+    out(rows.filter(small), min(FILE_BYTES / (mean or 1), MOST_BYTES / LARGE_BYTES), "errorifexists")
+    if (most or 0) >= LARGE_BYTES:
+        out(rows.filter(~small), MOST_BYTES / most, "append")
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -153,16 +172,70 @@ def index(spark: SparkSession, path: str, index_path: str) -> None:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "key", "file", "offset").sortWithinPartitions("key", "file", "offset").select("key", "line")
     blocks = rows.mapInArrow(_pack, "first_key string, last_key string, lines bigint, block binary")
-    blocks.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{index_path}/blocks")
-    spark.read.parquet(f"{index_path}/blocks").select("first_key", "last_key", "id").write.parquet(f"{index_path}/directory")
+    blocks.select("*", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("shard")).write.parquet(f"{index_path}/blocks")
+    spark.read.parquet(f"{index_path}/blocks").select("shard", "first_key", "last_key", "id").write.parquet(f"{index_path}/directory")
+
+
+def _between(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Places of the sorted ranges that may hold ``key``."""
+    at = to = bisect_left(lasts, key)
+    while to < len(firsts) and firsts[to] <= key:
+        to += 1
+    return range(at, to)
+
+
+def _shards(firsts: list[str], lasts: list[str], shards: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(k, shards[at]) for k in batch.column(0).to_pylist() for at in _between(firsts, lasts, k)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], names=["key", "shard"])
+
+
+def _search(key: tuple, keys: pa.Table, directory: pa.Table) -> pa.Table:
+    """The blocks of one shard that may hold the keys."""
+    ranges = sorted(zip(directory["first_key"].to_pylist(), directory["last_key"].to_pylist(), directory["id"].to_pylist(), strict=True))
+    firsts, lasts = [r[0] for r in ranges], [r[1] for r in ranges]
+    found: dict[int, list[str]] = {}
+    for k in keys["key"].to_pylist():
+        for at in _between(firsts, lasts, k):
+            found.setdefault(ranges[at][2], []).append(k)
+    rows = [(i, ks[at : at + BLOCK_KEYS]) for i, ks in found.items() for at in range(0, len(ks), BLOCK_KEYS)]
+    return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.list_(pa.string()))})
+
+
+def _lines(block: bytes) -> list[list[str]]:
+    return [x.split("\t") for x in zlib.decompress(block).decode("utf-8").split("\n")]
+
+
+def _of(lines: list[list[str]], names: list[str], key: str) -> list[tuple[str, str, int, int]]:
+    """The captures of ``key`` among a block's sorted lines."""
+    return [(key, x[-3], int(x[-2]), int(x[-1])) for x in lines[bisect_left(names, key) : bisect_right(names, key)]]
 
 
 @textkernel.releasing
 def _inflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in batch.column(0):
-            rows = [x.split("\t") for x in zlib.decompress(block.as_py()).decode("utf-8").split("\n")]
-            yield pa.RecordBatch.from_pydict({"key": [r[0] for r in rows], "file": [r[-3] for r in rows], "offset": [int(r[-2]) for r in rows], "length": [int(r[-1]) for r in rows]})
+        for block, keys in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            lines = _lines(block.as_py())
+            names = [x[0] for x in lines]
+            rows = [r for k in keys for r in _of(lines, names, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
+
+
+def locate(spark: SparkSession, index_path: str, keys: DataFrame) -> DataFrame:
+    """key, file, offset, length of every capture of the URL keys ``keys.key``, by binary search."""
+    common.ship(spark)
+    directory = spark.read.parquet(f"{index_path}/directory")
+    top = sorted(tuple(r) for r in directory.groupBy("shard").agg(F.min("first_key"), F.max("last_key")).select("min(first_key)", "max(last_key)", "shard").collect())  # a row per sorted partition
+    firsts, lasts, shards = map(list, zip(*top, strict=True)) if top else ([], [], [])
+    rows = common.materialize(keys.select("key").distinct().mapInArrow(partial(_shards, firsts, lasts, shards), "key string, shard int"), "shard-keys")
+    salts = rows.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_KEYS).cast("int").alias("_salts"))
+    salts = F.broadcast(salts.withColumnRenamed("shard", "_shard"))  # a row per sorted partition
+    rows = rows.join(salts, F.col("shard") == F.col("_shard")).select("key", "shard", F.pmod(F.xxhash64("key"), F.col("_salts")).cast("int").alias("salt"))
+    parts = directory.join(salts, F.col("shard") == F.col("_shard")).select("first_key", "last_key", "id", "shard", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"))
+    found = rows.groupBy("shard", "salt").cogroup(parts.groupBy("shard", "salt")).applyInArrow(_search, "id bigint, keys array<string>")
+    found = found.withColumnRenamed("id", "_id")
+    blocks = spark.read.parquet(f"{index_path}/blocks").select("id", "block")
+    return blocks.join(found, F.col("id") == F.col("_id")).select("block", "keys").mapInArrow(_inflate, "key string, file string, offset bigint, length bigint")
 
 
 def _read(data: bytes) -> tuple[int | None, int, str, str, int | None]:
@@ -182,51 +255,80 @@ def _read(data: bytes) -> tuple[int | None, int, str, str, int | None]:
 _ROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
+def _rows(records: list[bytes]) -> pa.RecordBatch:
+    rows = [_read(r) for r in records]
+    return pa.RecordBatch.from_pydict(dict(zip(_ROW.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_ROW)
+
+
+@textkernel.releasing
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records by positioned reads; neighbours are read at once."""
+    for batch in batches:
+        for file, wanted in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            store, name = pyarrow.fs.FileSystem.from_uri(file)
+            places = sorted((x["offset"], x["length"]) for x in wanted.as_py())
+            with store.open_input_file(name) as f:
+                k = 0
+                while k < len(places):
+                    to, begin, end = k + 1, places[k][0], sum(places[k])
+                    while to < len(places) and places[to][0] - end <= GAP_BYTES and sum(places[to]) - begin <= SPAN_BYTES:
+                        end = max(end, sum(places[to]))
+                        to += 1
+                    data = f.read_at(end - begin, begin)
+                    yield _rows([data[o - begin : o - begin + n] for o, n in places[k:to]])
+                    k = to
+
+
 @textkernel.releasing
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same out of whole files."""
     for batch in batches:
         for content, wanted in zip(batch.column(0), batch.column(1), strict=True):
             view = memoryview(content.as_buffer())
-            rows = [_read(bytes(view[x["offset"] : x["offset"] + x["length"]])) for x in wanted.as_py()]
-            yield pa.RecordBatch.from_pydict(dict(zip(_ROW.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_ROW)
+            yield _rows([bytes(view[x["offset"] : x["offset"] + x["length"]]) for x in wanted.as_py()])
 
 
-def captures(spark: SparkSession, index_path: str) -> DataFrame:
-    """key, file, offset, length of every capture, out of the blocks."""
-    common.ship(spark)
-    return spark.read.parquet(f"{index_path}/blocks").select("block").mapInArrow(_inflate, "key string, file string, offset bigint, length bigint")
+def opens(path: str) -> bool:
+    """Whether Python workers can open the store themselves."""
+    try:
+        pyarrow.fs.FileSystem.from_uri(path)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
 
 
-def read(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture, by the offsets in the index."""
-    wanted = captures(spark, index_path).groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))  # as many as a file holds
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+def read(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the captures at ``places`` (file, offset, length)."""
+    wanted = places.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))  # as many as a file holds
     wanted = common.materialize(wanted, "wanted")
-    rows = files.select("path", "content").join(common.small(wanted, wanted.count(), 64), F.col("path") == F.col("file")).select("content", "wanted")
-    return rows.mapInArrow(_cut, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    files, weight = wanted.agg(F.count("*"), F.sum(F.size("wanted") * 16)).first()
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    if opens(path):
+        tasks = max(1, min(files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), files // 8)))
+        return wanted.repartition(tasks, "file").mapInArrow(_fetch, schema)
+    wanted = F.broadcast(wanted) if (weight or 0) <= common.BROADCAST_BYTES else wanted
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
+    return found.select("path", "content").join(wanted, F.col("path") == F.col("file")).select("content", "wanted").mapInArrow(_cut, schema)
 
 
 class Lookup:
-    """Single captures by URL: a binary search of the directory, one block, and a range read."""
+    """Single captures by URL: a binary search of the directory, one block, and a range read, all from the driver."""
 
     def __init__(self, spark: SparkSession, index_path: str, most_blocks: int = common.BROADCAST_ROWS):
         self.spark, self.path = spark, index_path
         directory = spark.read.parquet(f"{index_path}/directory")
         if directory.count() > most_blocks:
-            raise ValueError(f"over {most_blocks} blocks: build one index per domain, or raise most_blocks")
+            raise ValueError(f"over {most_blocks} blocks: use locate(), or raise most_blocks")
         rows = sorted((r.first_key, r.last_key, r.id) for r in directory.collect())
-        self.last, self.rows = [r[1] for r in rows], rows
+        self.first, self.last, self.ids = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
     def find(self, url: str) -> list[tuple[str, int, int]]:
         """(file, offset, length) of the captures of ``url``."""
-        key = self.spark.range(1).select(url_key(F.lit(url)).alias("k")).first().k
-        out, at = [], bisect_left(self.last, key)
-        while at < len(self.rows) and self.rows[at][0] <= key:
-            block = self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("id") == self.rows[at][2]).first().block
-            lines = [x.split("\t") for x in zlib.decompress(block).decode("utf-8").split("\n")]
-            keys = [x[0] for x in lines]
-            out += [(x[-3], int(x[-2]), int(x[-1])) for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-            at += 1
+        key = self.spark.range(1).select(url_key(target(F.lit(url))).alias("k")).first().k
+        out = []
+        for at in _between(self.first, self.last, key):
+            lines = _lines(self.spark.read.parquet(f"{self.path}/blocks").filter(F.col("id") == self.ids[at]).first().block)
+            out += [r[1:] for r in _of(lines, [x[0] for x in lines], key)]
         return out
 
     def fetch(self, file: str, offset: int, length: int) -> bytes:
@@ -243,6 +345,8 @@ class Lookup:
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     at = f"{common.shared_dir(spark)}/tallyweave/warc-{uuid.uuid4().hex}"
-    write(common.read(spark, sf_dir, "pages", "page_id", "url", "html"), f"{at}/archive")
+    pages = common.read(spark, sf_dir, "pages", "page_id", "url", "html")
+    write(pages, f"{at}/archive")
     index(spark, f"{at}/archive", f"{at}/index")
-    return read(spark, f"{at}/archive", f"{at}/index")
+    keys = pages.select(url_key(target(F.col("url"))).alias("key"))
+    return read(spark, f"{at}/archive", locate(spark, f"{at}/index", keys))

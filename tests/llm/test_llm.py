@@ -358,14 +358,22 @@ def test_positions_follow_the_schedules(spark):
 
 # WARC
 
-def test_warc_round_trip(spark, tmp_path):
-    html = ["<p>a</p>", None, "", "<p>a</p>", "WARC/1.1\r\n\r\nx\r\n\r\nWARC/1.1\r\n", "é" * 40000, "", "<p>a</p>", "z"]
-    rows = [(k, f"http://h{k % 3}.example.com/p{k}?q", h) for k, h in enumerate(html)] + [(0, "http://again/", "<p>a</p>"), (None, None, "<p>a</p>"), (20, "bad\r\nurl", "u")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+@pytest.mark.parametrize("way", ["positioned", "whole files", "small shards, large records"])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, way):
+    if way == "whole files":
+        monkeypatch.setattr(warc, "opens", lambda path: False)
+    elif way != "positioned":
+        for name, value in {"BLOCK_LINES": 2, "SHARD_KEYS": 2, "BLOCK_KEYS": 1, "LARGE_BYTES": 3000, "MOST_BYTES": 100_000, "FILE_BYTES": 2000, "GAP_BYTES": 100, "SPAN_BYTES": 900}.items():
+            monkeypatch.setattr(warc, name, value)
+    html = ["<p>a</p>", None, "", "<p>a</p>", "WARC/1.1\r\n\r\nx\r\n\r\nWARC/1.1\r\n", "é" * 40000, "", "<p>a</p>", "z", "ß" * 700000]
+    rows = [(k, f"http://h{k % 3}.example.com/p{k}?q", h) for k, h in enumerate(html)] + [(0, "http://again/", "<p>a</p>"), (None, None, "<p>a</p>"), (20, "bad\r\nurl", "u"), (21, "", "v"), (22, None, "w")]
+    rows += [(30 + k, "http://same.example.org/", f"version {k}") for k in range(9)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, key string, file string")
     at, idx = str(tmp_path / "archive"), str(tmp_path / "index")
     warc.write(df, at)
     warc.index(spark, at, idx)
-    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.read(spark, at, idx).collect())
+    keys = df.select(warc.url_key(warc.target(F.col("url"))).alias("key"))
+    got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.read(spark, at, warc.locate(spark, idx, keys)).collect())
     lead = {}
     for i, _, h in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         lead.setdefault(h or "", i)
@@ -380,7 +388,17 @@ def test_warc_round_trip(spark, tmp_path):
     record = find.fetch(*where)
     fields, start, end, _ = warc.parse(record)
     assert record[start:end].partition(b"\r\n\r\n")[2].decode() == html[4] and fields["WARC-Target-URI"] == rows[4][1]
-    assert find.find("http://nowhere/") == []
+    assert find.find("http://nowhere/") == [] and len(find.find("http://same.example.org/")) == 9
+    some = spark.createDataFrame([(warc_key,) for warc_key in ("org,example,same)/", "org,nowhere)/", "", "zzz")], "key string")
+    assert warc.locate(spark, idx, some).groupBy("key").count().collect().__len__() == 2
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    at, idx = str(tmp_path / "archive"), str(tmp_path / "index")
+    warc.write(df, at)
+    warc.index(spark, at, idx)
+    assert warc.read(spark, at, warc.locate(spark, idx, spark.createDataFrame([("a",)], "key string"))).count() == 0
 
 
 # HTML
