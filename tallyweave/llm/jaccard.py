@@ -1,21 +1,25 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles are at least 75 % alike, as components.
 
-1. One pass turns each text into its set of 64-bit shingle hashes, of which it
-   keeps the set's size, a class hash (equal sets are one class, so verbatim
+1. A first pass counts all documents' shingles in 65,536 cells of the hash
+   space.  Cells that hold clearly more than their share hold shingles of many
+   documents; how much more ranks them.  Rank, then value, is one order of all
+   shingles, the rare first, that every task knows from a table of fixed size.
+2. A second pass turns each text into its set of 64-bit shingle hashes, of which
+   it keeps the set's size, a class hash (equal sets are one class, so verbatim
    copies never meet again) and the first ``n - ceil(0.75 n) + 1 + ceil(n/20)``
-   hashes by value.  Similar sets share more than ``ceil(n/20)`` of these.
-2. Rare-first prefix: the frequency of each kept hash over all classes orders
-   them; of that surplus the most frequent may be left out on either side, and
-   the rarest shared hash still stays.  A hash that one class alone holds needs
-   no partner and goes at once.
-3. Each remaining prefix hash is a bucket; its least class is the bucket's
-   pivot, and the buckets of one pivot form one group.  A group is verified in
-   pairs of blocks of bounded size, so one large group is many tasks;
+   hashes in that order.  Similar sets share more than ``ceil(n/20)`` of these.
+3. The kept hashes are counted exactly over all classes; of that surplus the
+   most frequent may be left out on either side, and the rarest shared hash still
+   stays.  A hash that one class alone holds needs no partner and goes at once.
+4. Each remaining prefix hash is a bucket; its least class is the bucket's
+   pivot, and the buckets of one pivot form one group.  A class without another
+   of fitting length in a group leaves it before any text moves.  A group is
+   verified in pairs of blocks of bounded size, so one large group is many tasks;
    a pair of a block needs a shared prefix hash, passes the length, positional
    and suffix (cells of the hash space) filters, and is then counted exactly,
    unless links found before connect it already.  A pair is left to the group
    of the least pivot that both sides know, so it is verified once.
-4. Blocks return spanning links only; components follow by star contraction.
+5. Blocks return spanning links only; components follow by star contraction.
 
 Defined cases.  A null text is empty; without words a document has no shingles
 and links with nothing.  With fewer than five words the whole sequence is the
@@ -27,6 +31,7 @@ table gives an empty result.  Extra columns pass through :func:`deduplicate`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,8 @@ from .components import components
 BLOCK, BLOCK_SHINGLES = 1024, 200_000
 CELLS = 64
 SURPLUS = 20  # one shingle in so many is looked up beyond the plain prefix
+#: Bits of a hash that name its counting cell; a cell is heavy when it holds so much more than the mean.
+CELL_BITS, HEAVY = 16, 0.1
 
 _SIG = "doc_id bigint, t bigint, n bigint, cls bigint, pre array<bigint>"
 
@@ -60,13 +67,38 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
 
 
 @textkernel.releasing
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of each cell, one row a cell and task."""
+    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    for batch in batches:
+        for _, h, _, _ in _sets(batch.column(0)):
+            total += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+
+def ranks(docs: DataFrame) -> np.ndarray:
+    """How far each cell is over its share of all shingles, in powers of two of HEAVY; 0 for the most."""
+    common.ship(docs.sparkSession)
+    rows = docs.select("text").mapInArrow(_counts, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # as many as there are cells
+    out = np.zeros(1 << CELL_BITS)
+    for r in rows:
+        out[r.cell] = r.n
+    over = out / max(out.mean(), 64) - 1  # fewer than so many a cell tell nothing
+    return np.where(over > HEAVY, 1 + np.floor(np.log2(np.maximum(over, HEAVY) / HEAVY)), 0).astype(np.uint8)
+
+
+@textkernel.releasing
+def _signatures(rank: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, t, texts = batch.column(0), batch.column(1), batch.column(2)
         for at, h, row, rows in _sets(texts):
             n = np.bincount(row, minlength=rows).astype(np.int64)
             cls = textkernel.fmix(textkernel.sums(textkernel.fmix(h), row, rows) + n.astype(np.uint64))
             kept, _ = prefix_sizes(n)
+            far = rank[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            if far.any():
+                h = h[np.lexsort((h, far, row))]
             begin = np.concatenate([[0], np.cumsum(n)])
             short = np.arange(len(h)) - begin[row] < kept[row]
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, kept, 0))]).astype(np.int32)
@@ -77,14 +109,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    common.ship(docs.sparkSession)
+    rank = ranks(docs)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
-    return rows.mapInArrow(_signatures, _SIG)
+    return rows.mapInArrow(partial(_signatures, rank), _SIG)
 
 
 def _members(sig: DataFrame, classes: DataFrame) -> DataFrame:
-    """p, cls, pre (its prefix hashes), pivots (all pivots of cls): the groups."""
-    rows = sig.filter("n > 0").select("cls", F.explode("pre").alias("h"))
+    """p, cls, n, pre (its prefix hashes), pivots (all pivots of cls): the groups."""
+    # dealt out once, for the counts and for the rows that they pick
+    rows = sig.filter("n > 0").select("cls", F.explode("pre").alias("h")).repartition("h")
     shared = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a != b").select("h", "c")
     order = rows.join(shared, "h").groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("c", "h"))).alias("o"))
     order = order.join(classes.select("cls", "n"), "cls")
@@ -92,12 +125,18 @@ def _members(sig: DataFrame, classes: DataFrame) -> DataFrame:
     kept = F.least(F.col("n"), F.col("n") - need + 1 + F.ceil(F.col("n") / SURPLUS))
     stay = kept - F.least(F.ceil(need / SURPLUS), F.greatest(kept - 1, F.lit(0)))
     left = F.greatest(F.lit(0), (stay - (kept - F.size("o"))).cast("int"))  # hashes of one class come first and take their places
-    order = order.select("cls", F.transform(F.slice("o", F.lit(1), left), lambda x: x["h"]).alias("pre")).filter(F.size("pre") > 0)
+    order = order.select("cls", "n", F.transform(F.slice("o", F.lit(1), left), lambda x: x["h"]).alias("pre")).filter(F.size("pre") > 0)
     order = common.materialize(order, "prefixes")
     flat = order.select("cls", F.explode("pre").alias("h"))
     buckets = flat.groupBy("h").agg(F.min("cls").alias("p"), F.max("cls").alias("b")).filter("p != b").select("h", "p")
     pivots = flat.join(buckets, "h").groupBy("cls").agg(F.sort_array(F.collect_set("p")).alias("pivots"))
-    return pivots.join(order, "cls").withColumn("p", F.explode("pivots"))
+    members = common.materialize(pivots.join(order, "cls").withColumn("p", F.explode("pivots")), "members")
+    # partners are at most a third longer, so their logarithms are in the same or the next bin
+    size = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    near = members.groupBy("p", size.alias("b")).agg(F.count("*").alias("c"))
+    near = near.select("p", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "c").groupBy("p", "b").agg(F.sum("c").alias("c")).filter("c > 1")
+    near = near.select(F.col("p").alias("_p"), F.col("b").alias("_b"))
+    return members.join(near, (F.col("p") == F.col("_p")) & (size == F.col("_b"))).drop("_p", "_b")
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
@@ -175,8 +214,8 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
 
 def links(docs: DataFrame, sig: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v: links between classes that connect every component."""
-    members = common.materialize(_members(sig, classes), "members")
-    sizes = members.join(classes.select("cls", "n"), "cls").groupBy("p").agg(F.count("*").alias("g"), F.sum("n").alias("s")).filter("g > 1")
+    members = common.materialize(_members(sig, classes), "fitting-members")
+    sizes = members.groupBy("p").agg(F.count("*").alias("g"), F.sum("n").alias("s")).filter("g > 1")
     sizes = common.materialize(sizes, "groups")
     rows = members.join(common.small(sizes, sizes.count()), "p").withColumn("parts", F.ceil(F.greatest(F.col("g") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))

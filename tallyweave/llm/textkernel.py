@@ -43,8 +43,8 @@ def releasing(run: Callable) -> Callable:
     """A generator over batches that gives freed memory back when it ends."""
 
     @wraps(run)
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+    def wrapped(*args) -> Iterator[pa.RecordBatch]:
+        yield from run(*args)
         release()
 
     return wrapped

@@ -178,6 +178,25 @@ def test_blocks_agree(spark, monkeypatch):
     assert got == {d[0]: c for d, (_, c) in zip(rows, want, strict=True)}
 
 
+def test_shared_passages_ship_no_text(spark, monkeypatch):
+    """One text made of passages that each stand in another document, beside a passage that all hold; links are still whole."""
+    rng = random.Random(17)
+    own = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    passages, line = [own(40) for _ in range(40)], own(60)
+    rows = [(0, " ".join(passages))] + [(1 + k, f"{own(400)} {p} {line}") for k, p in enumerate(passages)]
+    rows += [(100 + k, f"{own(70)} {line}") for k in range(300)] + [(500, rows[5][1] + " one more end"), (501, " ".join(passages[:38]))]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert (jaccard.ranks(df) > 0).sum() >= 50
+    sig = common.materialize(jaccard.signatures(df), "s")
+    members = jaccard._members(sig, common.materialize(jaccard._first(sig), "c"))
+    assert members.groupBy("cls").count().agg({"count": "max"}).first()[0] <= 4 and members.count() <= 12
+    want = brute.components(rows)
+    for share in (jaccard.HEAVY, 1e9):  # the order of the shingles changes the work, not the links
+        monkeypatch.setattr(jaccard, "HEAVY", share)
+        got = {r.doc_id: r.component_id for r in jaccard.join(df).collect()}
+        assert got == {d[0]: c for d, (_, c) in zip(rows, want, strict=True)}
+
+
 def test_deduplicate(spark, docs):
     out = jaccard.deduplicate(docs)
     assert out.columns == docs.columns
