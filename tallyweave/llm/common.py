@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, shared_dir, ship  # noqa: F401  for the operators
+from ..session import materialize, run_dir, ship  # noqa: F401  for the operators
 
 #: Rows of at most a few dozen bytes that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 250_000

@@ -344,7 +344,7 @@ class Lookup:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    at = f"{common.shared_dir(spark)}/tallyweave/warc-{uuid.uuid4().hex}"
+    at = f"{common.run_dir(spark)}/warc-{uuid.uuid4().hex}"
     pages = common.read(spark, sf_dir, "pages", "page_id", "url", "html")
     write(pages, f"{at}/archive")
     index(spark, f"{at}/archive", f"{at}/index")
