@@ -49,11 +49,6 @@ def anonymous_label(node: Column, node_type: Column) -> Column:
     return F.when(F.startswith(node, F.lit("SYN:")), F.substring(node, 5, 1 << 20)).otherwise(F.concat(prefix, digest))
 
 
-def rename_synthetic(node: Column) -> Column:
-    """Ids of a held-out test graph."""
-    return F.regexp_replace(node, "^SYN:", "SYNTEST:")
-
-
 def parse_date(x: Column) -> Column:
     """The first of five day formats that fits the first 11 characters; two-digit years from 69 on are of the 1900s."""
     head = F.trim(F.substring(F.trim(x), 1, 11))

@@ -6,7 +6,7 @@ stay).  Matrices are sparse (i, j, w) tables; nothing is dense.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -86,11 +86,14 @@ def pair_sums(edges: DataFrame) -> DataFrame:
 def directed_channels(edges: DataFrame) -> DataFrame:
     """channel, i, j, w: amounts and counts, each row-normalised outwards and (transposed) inwards.  A row of zeros stays zero.
 
-    The four channels share one aggregation and two windows over the pairs.
+    The four channels share one aggregation; the totals of a node's rows are
+    aggregates joined back, so a hub's pairs need not meet in one task.
     """
-    pairs = pair_sums(edges)
-    share = lambda c, by: scalars.safe_divide(F.col(c), F.sum(c).over(Window.partitionBy(by)))
-    rows = pairs.withColumns({"ao": share("log_amount", "src"), "co": share("n", "src")}).withColumns({"ai": share("log_amount", "dst"), "ci": share("n", "dst")})
+    pairs = materialize(pair_sums(edges), "pair-sums")
+    total = lambda by, a, c: pairs.groupBy(by).agg(F.sum("log_amount").alias(a), F.sum("n").alias(c))
+    rows = pairs.join(total("src", "sa", "sc"), "src").join(total("dst", "da", "dc"), "dst")
+    share = lambda c, t: scalars.safe_divide(F.col(c), F.col(t))
+    rows = rows.withColumns({"ao": share("log_amount", "sa"), "co": share("n", "sc"), "ai": share("log_amount", "da"), "ci": share("n", "dc")})
     one = lambda name, i, j, w: F.struct(F.lit(name).alias("channel"), F.col(i).alias("i"), F.col(j).alias("j"), F.col(w).alias("w"))
     every = F.array(one("amount_out", "src", "dst", "ao"), one("amount_in", "dst", "src", "ai"), one("count_out", "src", "dst", "co"), one("count_in", "dst", "src", "ci"))
     return rows.select(F.explode(every).alias("x")).select("x.*")
@@ -131,16 +134,30 @@ def node_index(nodes: DataFrame, order: str = "node_seq") -> DataFrame:
 
 
 def negative_pairs(edges: DataFrame, nodes: DataFrame, per_positive: int = 1, seed: int = 0) -> DataFrame:
-    """Random ordered pairs of different nodes without an edge either way: a seeded draw per positive pair, and an anti-join.
+    """Random ordered pairs of different nodes without an edge either way, as many as ``per_positive`` times the positive pairs.
 
-    Nodes are numbered by a dense index only within the draw; fewer rows than
-    drawn stay where a draw hits an edge.
+    Seeded draws are numbered by a dense index of the nodes and those that hit
+    an edge or an earlier pair are drawn again, until the count is met; where
+    few pairs are free beside the count, all of them are listed and those of
+    the least hash are taken, so a dense graph ends too.
     """
+    spark = edges.sparkSession
     index = materialize(node_index(nodes), "index")
     n = index.count()
-    draws = positive_pairs(edges).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
-    pick = lambda salt: F.pmod(F.xxhash64("src", "dst", "k", F.lit(seed), F.lit(salt)), F.lit(max(n, 1)))
-    draws = draws.select(pick("a").alias("a"), pick("b").alias("b")).filter("a != b").distinct()
-    named = draws.join(index.select(F.col("idx").alias("a"), F.col("node_id").alias("i")), "a").join(index.select(F.col("idx").alias("b"), F.col("node_id").alias("j")), "b")
-    both = adjacency(edges).select("i", "j")
-    return named.select("i", "j").join(both, ["i", "j"], "left_anti")
+    both = materialize(adjacency(edges).filter("i != j").select("i", "j"), "pairs")
+    free = n * (n - 1) - both.count()
+    wanted = min(positive_pairs(edges).count() * per_positive, free)
+    name = lambda c, as_: index.select(F.col("idx").alias(c), F.col("node_id").alias(as_))
+    found, left, salt = spark.createDataFrame([], "i string, j string"), wanted, 0
+    while left > 0:
+        if free <= 8 * wanted:
+            drawn = index.select(F.col("node_id").alias("i")).crossJoin(index.select(F.col("node_id").alias("j"))).filter("i != j")  # within nine times what is returned, and the edges
+        else:
+            draw = lambda end: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt), F.lit(end)), F.lit(n))  # noqa: B023,E731
+            drawn = spark.range(left + left // 4 + 64).select(draw("a").alias("a"), draw("b").alias("b")).filter("a != b").distinct()
+            drawn = drawn.join(name("a", "i"), "a").join(name("b", "j"), "b").select("i", "j")
+        fresh = drawn.join(both, ["i", "j"], "left_anti").join(found, ["i", "j"], "left_anti").withColumn("h", F.xxhash64("i", "j", F.lit(seed)))
+        fresh = numbered(fresh, ["h", "i", "j"]).filter(F.col("rn") <= left).select("i", "j")
+        found = materialize(found.unionByName(fresh), "negatives")
+        left, salt = wanted - found.count(), salt + 1
+    return found

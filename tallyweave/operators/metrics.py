@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import numbered, running
+from ..session import materialize
+from .order import numbered, running, same
 
 EXTRA_KS = (10, 25, 50, 100)
 
@@ -36,13 +37,8 @@ def _distinct_scores(rows: DataFrame, by: list[str]) -> DataFrame:
 def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """roc_auc: the Mann-Whitney statistic, ties counting half; null where a class is missing."""
     by = by or []
-    level = _distinct_scores(rows, by)
     negative = F.col("c") - F.col("p")
-    if by:
-        below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        level = level.withColumn("n_below", F.coalesce(F.sum(negative).over(below), F.lit(0)))
-    else:
-        level = running(level, ["score"], {"n_below": negative}).withColumn("n_below", F.col("n_below") - negative)
+    level = running(_distinct_scores(rows, by), ["score"], {"n_below": negative}, by).withColumn("n_below", F.col("n_below") - negative)
     wins = F.sum(F.col("p") * (F.col("n_below") + (F.col("c") - F.col("p")) / 2e0))
     pos, neg = F.sum("p"), F.sum(F.col("c") - F.col("p"))
     return level.groupBy(*by).agg(F.try_divide(wins, (pos * neg).cast("double")).alias("roc_auc"))
@@ -51,20 +47,14 @@ def roc_auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def average_precision(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """pr_auc: the sum of precision times the recall gained, over distinct thresholds."""
     by = by or []
-    level = _distinct_scores(rows, by)
-    if by:
-        down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        level = level.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("c").over(down)})
-    else:
-        level = running(level, [F.col("score").desc()], {"tp": F.col("p"), "seen": F.col("c")})
+    level = running(_distinct_scores(rows, by), [F.col("score").desc()], {"tp": F.col("p"), "seen": F.col("c")}, by)
     return level.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("tp") / F.col("seen").cast("double"))), F.sum("p").cast("double")).alias("pr_auc"))
 
 
 def precision_recall_at(rows: DataFrame, ks: tuple[int, ...] = EXTRA_KS, by: list[str] | None = None) -> DataFrame:
     """k, precision, recall for each k up to the number of rows; k = 0 stands for the number of positives."""
     by = by or []
-    order = [F.col("score").desc(), F.col("node_id")]
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))) if by else numbered(rows, order)
+    ranked = numbered(rows, [F.col("score").desc(), F.col("node_id")], by=by)
     totals = rows.groupBy(*by).agg(F.sum(F.col("label").cast("bigint")).alias("pos"), F.count("*").alias("n"))
     wanted = totals.withColumn("asked", F.explode(F.array(*[F.lit(k) for k in ks])))
     wanted = wanted.withColumn("k", F.when(F.col("asked") == 0, F.col("pos")).otherwise(F.col("asked"))).filter((F.col("k") > 0) & (F.col("k") <= F.col("n")))
@@ -84,10 +74,48 @@ def compute_metrics(rows: DataFrame, ks: tuple[int, ...] = EXTRA_KS, by: list[st
     at = precision_recall_at(rows, (0, *ks), by)
     wide = at.groupBy(*by).agg(*[F.max(F.when(F.col("asked") == k, F.col(m))).alias(f"{m}_at_{k or 'n'}") for k in (0, *ks) for m in ("precision", "recall")])
     for part in (roc_auc(rows, by), average_precision(rows, by), wide):
-        out = out.join(part, by, "left") if by else out.crossJoin(F.broadcast(part))  # one row each
+        out = same(out, part, by, "left")
     return out
 
 
+def located(scores: DataFrame, positive: DataFrame, by: list[str]) -> DataFrame:
+    """Every row of ``scores`` whose node_id is in ``positive``, placed among the others (the negatives) of its group ``by``.
+
+    Adds negatives (in all), below (of lower score), equal (of equal score) and
+    before (higher, or equal with a smaller node_id).  Slices of positives are
+    evaluated on this: the negatives are ranked once, however many slices share
+    them.
+    """
+    marked = same(scores, positive.select("node_id").distinct().withColumn("_pos", F.lit(1)), ["node_id"], "left")
+    marked = materialize(marked.withColumn("_neg", F.col("_pos").isNull().cast("bigint")), "marked-scores")
+    level = running(marked.groupBy(*by, "score").agg(F.sum("_neg").alias("equal")), ["score"], {"below": F.col("equal")}, by).withColumn("below", F.col("below") - F.col("equal"))
+    rows = running(marked, [F.col("score").desc(), F.col("node_id")], {"before": F.col("_neg")}, by).filter("_pos = 1")
+    rows = same(same(rows, level, [*by, "score"]), marked.groupBy(*by).agg(F.sum("_neg").alias("negatives")), by)
+    return rows.drop("_pos", "_neg")
+
+
+def located_metrics(rows: DataFrame, by: list[str], ks: tuple[int, ...] = EXTRA_KS) -> DataFrame:
+    """What :func:`compute_metrics` gives, from located positives; windows run over the positives of one slice."""
+    own = Window.partitionBy(*by)
+    rows = rows.withColumns({"n_positive": F.count("*").over(own), "_rank": F.row_number().over(own.orderBy(F.col("score").desc(), "node_id")) + F.col("before")})
+    rows = rows.withColumns({"_n": F.col("negatives") + F.col("n_positive"), "_tp": F.count("*").over(own.orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))})
+    seen = F.col("_tp") + F.col("negatives") - F.col("below")
+    pos = F.max("n_positive")
+    every = pos * F.max("negatives")
+    out = rows.groupBy(*by).agg(
+        F.max("_n").alias("n"), pos.alias("n_positive"), F.try_divide(F.sum(F.col("below") + F.col("equal") / 2e0), every.cast("double")).alias("roc_auc"),
+        # negatives missing: every ranking is perfect, as thresholds see positives only
+        (F.sum(F.col("_tp") / seen.cast("double")) / pos.cast("double")).alias("pr_auc"),
+        *[F.count_if(F.col("_rank") <= (F.col("n_positive") if k == 0 else k)).alias(f"_hits_{k}") for k in (0, *ks)],
+    )
+    k_of = lambda k: F.col("n_positive") if k == 0 else F.lit(k)
+    at = {}
+    for k in (0, *ks):
+        at[f"precision_at_{k or 'n'}"] = F.when(k_of(k) <= F.col("n"), F.col(f"_hits_{k}") / k_of(k))
+        at[f"recall_at_{k or 'n'}"] = F.when(k_of(k) <= F.col("n"), F.col(f"_hits_{k}") / F.col("n_positive"))
+    return out.withColumns(at).drop(*[f"_hits_{k}" for k in (0, *ks)])
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The ``k`` highest scores, ties by node_id."""
     return scores.orderBy(F.col("score").desc(), "node_id").limit(k)

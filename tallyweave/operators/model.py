@@ -3,8 +3,10 @@
 ``Z = S relu(sum_c A_c X W_c + X W_s) W2`` with the symmetric normalisation S;
 a pair (i, j) is decoded asymmetrically as ``sigmoid(Z_i Wq . Z_j Wk)``.
 
-Training keeps sparse arrays of a bounded graph on the driver: ``A_c X`` does not
-depend on the weights and is computed once, in Spark.  Scoring is distributed:
+Training sees every edge.  A graph within MOST_PAIRS is kept as sparse arrays on
+the driver (``A_c X`` does not depend on the weights and is computed once, in
+Spark); a larger one is trained by :mod:`.descent`, where it stays distributed.
+Scoring is distributed:
 dense layers run per node over Arrow batches, sparse products are joins and sums,
 pairs are decoded by native expressions.
 """
@@ -24,7 +26,7 @@ from ..session import ship
 from . import graph
 
 CHANNELS = ("amount_out", "amount_in", "count_out", "count_in")
-#: Directed pairs up to which the driver trains on the whole graph; beyond, on the nodes with the least hash.
+#: Directed pairs, and nodes, up to which the driver holds the graph; beyond, the same descent is distributed.
 MOST_PAIRS = 2_000_000
 _B1, _B2, _EPS = 0.9, 0.999, 1e-8
 
@@ -92,54 +94,57 @@ def gradients(weights: dict, inputs: dict, sym: Sparse, state: dict, i: np.ndarr
 
 
 def negatives(rng: np.random.Generator, n: int, taken: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered pairs of different nodes whose codes i * n + j are not ``taken`` (sorted)."""
+    """``count`` ordered pairs of different nodes whose codes i * n + j are not ``taken`` (sorted); none where no pair is free."""
+    if n * n <= 8 * max(count, len(taken)):  # dense: draw from the list of what is free
+        free = np.setdiff1d(np.arange(n * n), np.concatenate([taken, np.arange(n) * (n + 1)]))
+        code = rng.choice(free, count) if len(free) else free
+        return code // n, code % n
     i, j = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for _ in range(50):
-        a, b = rng.integers(0, n, 2 * count), rng.integers(0, n, 2 * count)
+    while len(i) < count:  # most draws are free
+        a, b = rng.integers(0, n, 2 * (count - len(i))), rng.integers(0, n, 2 * (count - len(i)))
         code = a * n + b
         at = np.minimum(np.searchsorted(taken, code), max(len(taken) - 1, 0))
         ok = (a != b) & ((taken[at] != code) if len(taken) else True)
         i, j = np.concatenate([i, a[ok]]), np.concatenate([j, b[ok]])
-        if len(i) >= count:
-            break
     return i[:count], j[:count]
 
 
+class Adam:
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.weights, self.rate, self.t = weights, rate, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def step(self, grad: dict[str, np.ndarray]) -> None:
+        self.t += 1
+        for k, g in grad.items():
+            self.m[k] = _B1 * self.m[k] + (1 - _B1) * g
+            self.v[k] = _B2 * self.v[k] + (1 - _B2) * g * g
+            self.weights[k] = self.weights[k] - self.rate * (self.m[k] / (1 - _B1**self.t)) / (np.sqrt(self.v[k] / (1 - _B2**self.t)) + _EPS)
+
+
 def fit(inputs: dict[str, np.ndarray], sym: Sparse, i: np.ndarray, j: np.ndarray, epochs: int = 200, rate: float = 0.02, hidden: int = 64, embed: int = 32, seed: int = 0, columns: list[str] | None = None) -> Model:
     """Full-batch Adam; each epoch draws as many negative pairs as there are positive ones."""
-    weights = new_weights(inputs["self"].shape[1], hidden, embed, seed)
+    adam = Adam(new_weights(inputs["self"].shape[1], hidden, embed, seed), rate)
     rng = np.random.default_rng(seed + 1)
-    m = {k: np.zeros_like(v) for k, v in weights.items()}
-    v = {k: np.zeros_like(x) for k, x in weights.items()}
     taken = np.unique(np.concatenate([i * sym.n + j, j * sym.n + i]))
-    y = np.concatenate([np.ones(len(i)), np.zeros(len(i))]).astype(np.float32)
     losses = []
-    for step in range(1, epochs + 1):
+    for _ in range(epochs):
         a, b = negatives(rng, sym.n, taken, len(i))
+        y = np.concatenate([np.ones(len(i)), np.zeros(len(a))]).astype(np.float32)
         pi, pj = np.concatenate([i, a]), np.concatenate([j, b])
-        loss, grad = gradients(weights, inputs, sym, forward(weights, inputs, sym), pi, pj, y[: len(pi)])
+        loss, grad = gradients(adam.weights, inputs, sym, forward(adam.weights, inputs, sym), pi, pj, y)
         losses.append(loss)
-        for k, g in grad.items():
-            m[k] = _B1 * m[k] + (1 - _B1) * g
-            v[k] = _B2 * v[k] + (1 - _B2) * g * g
-            weights[k] = weights[k] - rate * (m[k] / (1 - _B1**step)) / (np.sqrt(v[k] / (1 - _B2**step)) + _EPS)
-    return Model({k: x.astype(np.float32) for k, x in weights.items()}, columns or [], losses)
+        adam.step(grad)
+    return Model({k: x.astype(np.float32) for k, x in adam.weights.items()}, columns or [], losses)
 
 
 def train(edges: DataFrame, feats: DataFrame, columns: list[str], most_pairs: int = MOST_PAIRS, **options) -> Model:
-    """Fit on the graph of ``edges`` with scaled features ``feats`` (node_id, columns).
-
-    Over ``most_pairs`` directed pairs, the graph is first cut to the nodes with
-    the least hash, so that what reaches the driver is bounded.
-    """
+    """Fit on the whole graph of ``edges`` with scaled features ``feats`` (node_id, columns); over ``most_pairs`` pairs or nodes, distributed."""
     pairs = graph.positive_pairs(edges)
-    n_pairs = pairs.count()
-    if n_pairs > most_pairs:
-        share = int((most_pairs / n_pairs) ** 0.5 * (1 << 20))  # both ends must stay
-        near = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)) < share
-        edges = edges.filter(near("src") & near("dst"))
-        feats = feats.filter(near("node_id"))
-        pairs = graph.positive_pairs(edges)
+    if max(pairs.count(), feats.count()) > most_pairs:
+        from . import descent
+
+        return descent.fit(edges, feats, columns, **options)
     x = feats.select("node_id", *columns).orderBy("node_id").toPandas()
     place = {n: k for k, n in enumerate(x["node_id"])}
     n = len(place)

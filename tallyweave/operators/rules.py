@@ -6,9 +6,14 @@ counterparty nodes are treated alike.  Thresholds are parameters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .order import medians
+
 BURST_MINUTES, BURST_COUNT = 10, 5
 HIGH_FACTOR, HIGH_FLOOR = 5.0, 5000.0
 SPIKE_DAYS, SPIKE_FACTOR, SPIKE_FLOOR = 7, 4.0, 10000.0
@@ -22,12 +27,29 @@ def _score(rows: DataFrame, flag) -> DataFrame:
     return rows.groupBy("node").agg(F.max(F.when(flag, 1.0).otherwise(0.0)).alias("score"))
 
 
+#: Frames run inside cells of so many of their lengths: a busy node is many tasks, and few rows stand in two cells.
+CELL_FRAMES = 64
+
+
+def _cells(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """``rows`` (with _us) in time cells: _cell, and _own (false: the row is only there for frames that reach over the edge)."""
+    width = max(before + after, 1) * CELL_FRAMES
+    cell = F.floor(F.col("_us") / width)
+    # a row is seen by frames that start up to ``after`` before it and end up to ``before`` after it
+    first, last = F.floor((F.col("_us") - after) / width), F.floor((F.col("_us") + before) / width)
+    return rows.withColumn("_cell", F.explode(F.sequence(first, last))).withColumn("_own", F.col("_cell") == cell)
+
+
+def _dated(inc: DataFrame) -> DataFrame:
+    return inc.filter(F.col("parsed_date").isNotNull()).withColumn("_us", F.unix_micros(F.col("parsed_date").cast("timestamp")))
+
+
 def burst_counts(inc: DataFrame, minutes: int = BURST_MINUTES) -> DataFrame:
     """Dated rows with the number of the node's rows within half the window on either side, itself included."""
     half = minutes * 60 * 1_000_000 // 2
-    rows = inc.filter(F.col("parsed_date").isNotNull()).withColumn("_us", F.unix_micros(F.col("parsed_date").cast("timestamp")))
-    near = Window.partitionBy("node").orderBy("_us").rangeBetween(-half, half)
-    return rows.withColumn("nearby", F.count("*").over(near)).drop("_us")
+    near = Window.partitionBy("node", "_cell").orderBy("_us").rangeBetween(-half, half)
+    rows = _cells(_dated(inc), half, half).withColumn("nearby", F.count("*").over(near))
+    return rows.filter("_own").drop("_us", "_cell", "_own")
 
 
 def burst(inc: DataFrame, minutes: int = BURST_MINUTES, count: int = BURST_COUNT) -> DataFrame:
@@ -40,7 +62,7 @@ def high_value(inc: DataFrame, factor: float = HIGH_FACTOR, floor: float = HIGH_
     Only the largest amount of a (node, direction) can decide, so the median and
     the maximum meet in one aggregation and no row is joined back.
     """
-    by = inc.groupBy("node", "direction").agg(F.median("amount").alias("m"), F.max("amount").alias("x"))
+    by = medians(inc, ["node", "direction"], "amount", x=F.max("amount"))
     return _score(by, (F.col("m") > 0) & (F.col("x") > factor * F.col("m")) & (F.col("x") > floor))
 
 
@@ -48,27 +70,29 @@ def spending_spike(inc: DataFrame, days: int = SPIKE_DAYS, factor: float = SPIKE
     """A day's outgoing total over ``factor`` times the median day's, and over ``floor``, for nodes with enough days."""
     out = inc.filter((F.col("direction") == "OUT") & F.col("parsed_date").isNotNull())
     daily = out.groupBy("node", F.to_date("parsed_date").alias("day")).agg(F.sum(F.col("amount").cast("decimal(18,4)")).cast("double").alias("total"))
-    by = daily.groupBy("node").agg(F.count("*").alias("n"), F.median("total").alias("m"), F.max("total").alias("x"))
+    by = daily.groupBy("node").agg(F.count("*").alias("n"), F.median("total").alias("m"), F.max("total").alias("x"))  # as many as days
     return _score(by, (F.col("n") >= days) & (F.col("x") > factor * F.col("m")) & (F.col("x") > floor))
 
 
 def repeated(inc: DataFrame, count: int = REPEAT_COUNT, hours: int = REPEAT_HOURS, share: float = REPEAT_SHARE) -> DataFrame:
     """A row with ``count - 1`` others between the same two nodes within ``hours`` and ``share`` of its own amount.
 
-    Only rows with enough neighbours in time (a range frame) look for partners,
-    on (node, other, time cell): each looks into three cells of ``hours`` width,
-    so a busy pair of nodes is many small join keys.
+    Rows of equal time and amount are counted first, and pairs of nodes with too
+    few rows go.  The others stand in cells of time and of the logarithm of the
+    amount, each as wide as the largest distance, so a partner is in the same
+    cell or the next; a busy pair of nodes is many small join keys.
     """
-    us = hours * 3600 * 1_000_000
-    rows = inc.filter(F.col("parsed_date").isNotNull()).select("node", "other", "amount", F.unix_micros(F.col("parsed_date").cast("timestamp")).alias("t"))
-    near = Window.partitionBy("node", "other").orderBy("t").rangeBetween(-us, us)
-    rows = rows.withColumn("c", F.count("*").over(near))
-    # equal rows are counted, not paired
-    rows = rows.groupBy("node", "other", "t", "amount").agg(F.count("*").alias("k"), F.max("c").alias("c")).withColumn("cell", F.floor(F.col("t") / us))
-    left = rows.filter(F.col("c") >= count).drop("c", "k").withColumn("cell", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
-    right = rows.select("node", "other", "cell", F.col("t").alias("u"), F.col("amount").alias("b"), F.col("k").alias("kb"))
+    us, band = hours * 3600 * 1_000_000, -math.log(1 - share) * (1 + 1e-9)
+    rows = _dated(inc).select("node", "other", "amount", F.col("_us").alias("t")).groupBy("node", "other", "t", "amount").agg(F.count("*").alias("k"))
+    busy = rows.groupBy("node", "other").agg(F.sum("k").alias("c")).filter(F.col("c") >= count).select("node", "other")
+    rows = materialize(rows.join(busy, ["node", "other"], "left_semi").filter("amount is not null"), "busy-pairs")
+    place = F.when(F.col("amount") == 0, F.lit(0)).otherwise(F.floor(F.log(F.abs("amount")) / band))
+    rows = rows.withColumns({"cell": F.floor(F.col("t") / us), "side": F.signum("amount").cast("int"), "band": place})
+    near = lambda c: F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)]))
+    left = rows.drop("k").withColumn("cell", near("cell")).withColumn("band", near("band"))
+    right = rows.select("node", "other", "cell", "side", "band", F.col("t").alias("u"), F.col("amount").alias("b"), F.col("k").alias("kb"))
     alike = F.when(F.col("amount") == 0, F.col("b") == 0).otherwise(F.abs(F.col("b") - F.col("amount")) / F.abs("amount") <= share)
-    met = left.join(right, ["node", "other", "cell"]).filter((F.abs(F.col("u") - F.col("t")) <= us) & alike)
+    met = left.join(right, ["node", "other", "cell", "side", "band"]).filter((F.abs(F.col("u") - F.col("t")) <= us) & alike)
     flagged = met.groupBy("node", "other", "t", "amount").agg(F.sum("kb").alias("n")).filter(F.col("n") >= count).select("node").distinct()
     return inc.select("node").distinct().join(flagged.withColumn("score", F.lit(1.0)), "node", "left").fillna(0.0, ["score"])
 
@@ -76,17 +100,26 @@ def repeated(inc: DataFrame, count: int = REPEAT_COUNT, hours: int = REPEAT_HOUR
 def episodes(inc: DataFrame, hours: int = EPISODE_HOURS) -> DataFrame:
     """Dated rows with their episode: a new one begins after a gap of more than ``hours``; rows of one time share it."""
     us = hours * 3600 * 1_000_000
-    rows = inc.filter(F.col("parsed_date").isNotNull()).withColumn("_us", F.unix_micros(F.col("parsed_date").cast("timestamp")))
+    rows = _dated(inc)
     by = Window.partitionBy("node").orderBy("_us")
     rows = rows.withColumn("_new", F.when(F.col("_us") - F.lag("_us").over(by) > us, 1).otherwise(0))
     return rows.withColumn("episode", F.sum("_new").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_us", "_new")
 
 
 def smurfing_episode(inc: DataFrame, low: float = NEAR_LOW, high: float = NEAR_HIGH, hours: int = EPISODE_HOURS, share: float = NEAR_SHARE) -> DataFrame:
-    """An episode most of whose amounts lie just under the reporting threshold."""
-    near = F.avg(F.when(F.col("amount").between(low, high), 1.0).otherwise(0.0))
-    by = episodes(inc, hours).groupBy("node", "episode").agg(near.alias("near"))
-    return _score(by, F.col("near") > share)
+    """An episode most of whose amounts lie just under the reporting threshold.
+
+    No gap inside a cell of ``hours`` ends an episode, so rows are first summed
+    by cell; episodes are then found among a node's cells, as many as its days.
+    """
+    us = hours * 3600 * 1_000_000
+    rows = _dated(inc)
+    near = F.count_if(F.col("amount").between(low, high))
+    cells = rows.groupBy("node", F.floor(F.col("_us") / us).alias("cell")).agg(F.min("_us").alias("a"), F.max("_us").alias("b"), F.count("*").alias("n"), near.alias("near"))
+    by = Window.partitionBy("node").orderBy("cell")
+    cells = cells.withColumn("new", F.when(F.col("a") - F.lag("b").over(by) > us, 1).otherwise(0)).withColumn("episode", F.sum("new").over(by))
+    sums = cells.groupBy("node", "episode").agg((F.sum("near") / F.sum("n")).alias("near"))
+    return _score(sums, F.col("near") > share)
 
 
 def smurfing_session(inc: DataFrame, low: float = NEAR_LOW, high: float = NEAR_HIGH, hours: int = EPISODE_HOURS, share: float = NEAR_SHARE) -> DataFrame:
@@ -108,12 +141,15 @@ def stub(name: str, nodes: DataFrame) -> DataFrame:
 RULES = {"burst": burst, "high_value": high_value, "spending_spike": spending_spike, "repeated_transaction": repeated, "smurfing_episode": smurfing_episode}
 
 
-def combined(inc: DataFrame, nodes: DataFrame, **changed) -> DataFrame:
-    """node_id, the score of each rule and their maximum, for every node.
+def combined(inc: DataFrame, nodes: DataFrame | None = None, **changed) -> DataFrame:
+    """node_id, the score of each rule and their maximum, for every node (of ``inc`` where no nodes are given).
 
-    Scores are stacked and pivoted in one aggregation instead of joined five
-    times.  ``changed`` maps a rule's name to its keyword arguments.
+    The rows that the rules read are written once.  Scores are stacked and
+    pivoted in one aggregation instead of joined five times.  ``changed`` maps a
+    rule's name to its keyword arguments.
     """
+    inc = materialize(inc.select("node", "other", "direction", "amount", "parsed_date"), "incidence")
+    nodes = inc.select(F.col("node").alias("node_id")).distinct() if nodes is None else nodes
     stacked = nodes.select(F.col("node_id").alias("node"), F.lit("").alias("rule"), F.lit(0.0).alias("score"))
     for name, rule in RULES.items():
         stacked = stacked.unionByName(rule(inc, **changed.get(name, {})).select("node", F.lit(name).alias("rule"), "score"))
@@ -126,11 +162,24 @@ def combined(inc: DataFrame, nodes: DataFrame, **changed) -> DataFrame:
 def burst_volume(inc: DataFrame, minutes: int = 10, count: int = 4, floor: float = 10000.0) -> DataFrame:
     """A forward window of ``minutes`` with at least ``count`` rows and over ``floor`` in all, graded by its count."""
     us = minutes * 60 * 1_000_000
-    rows = inc.filter(F.col("parsed_date").isNotNull()).withColumn("_us", F.unix_micros(F.col("parsed_date").cast("timestamp")))
-    ahead = Window.partitionBy("node").orderBy("_us").rangeBetween(0, us)
-    rows = rows.withColumns({"n": F.count("*").over(ahead), "a": F.sum(F.col("amount").cast("decimal(18,4)")).over(ahead)})
+    ahead = Window.partitionBy("node", "_cell").orderBy("_us").rangeBetween(0, us)
+    rows = _cells(_dated(inc), 0, us).withColumns({"n": F.count("*").over(ahead), "a": F.sum(F.col("amount").cast("decimal(18,4)")).over(ahead)})
     graded = F.least(F.lit(1.0), (F.col("n") - (count - 1)) / 6)
-    return rows.groupBy("node").agg(F.max(F.when((F.col("n") >= count) & (F.col("a") > floor), graded).otherwise(0.0)).alias("score"))
+    return rows.filter("_own").groupBy("node").agg(F.max(F.when((F.col("n") >= count) & (F.col("a") > floor), graded).otherwise(0.0)).alias("score"))
+
+
+#: Stubs of the fourth version.
+PLAIN_STUBS = ("money_flow", "circular_return")
+
+
+def combined_plain(inc: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The fourth version: graded bursts, the plain share near the threshold, the stubs, and their maximum, for every node."""
+    inc = materialize(inc.select("node", "amount", "parsed_date"), "incidence")
+    out = nodes.select("node_id")
+    for name, rule in (("burst", burst_volume(inc)), ("smurfing_proximity", near_share(inc))):
+        out = out.join(rule.select(F.col("node").alias("node_id"), F.col("score").alias(name)), "node_id", "left").fillna(0.0, [name])
+    out = out.withColumns({n: F.lit(0.0) for n in PLAIN_STUBS})
+    return out.withColumn("combined", F.greatest("burst", "smurfing_proximity", *PLAIN_STUBS))
 
 
 def near_share(inc: DataFrame, low: float = NEAR_LOW, high: float = NEAR_HIGH) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import narration as N
 from ..functions import scalars as S
 from ..operators import features, graph, iforest, metrics, model, rings, rules
-from ..session import materialize, shared_dir
+from ..session import materialize, run_dir
 from ..sources import statements
 from . import views
 
@@ -276,7 +276,7 @@ from n left join burst using (node) left join high using (node) left join spike
 
 @query(_RULES_SQL)
 def rules_combined(spark, d):
-    return rules.combined(_inc(spark, d), views.nodes(spark, d)).select("node_id", *rules.RULES, "combined")
+    return rules.combined(_inc(spark, d)).select("node_id", *rules.RULES, "combined")
 
 
 @query("select distinct node, cast(0 as double) as score, x.rule as rule from inc, (values ('excessive_withdrawal'), ('late_night'), ('balance_drop'), ('circular_return'), ('bidirectional')) x(rule)")
@@ -602,56 +602,54 @@ def overlap_intersect(spark, d):
 
 # sources: statements written from the transactions, read back by the parsers --------------------------------------
 
-_ONE = "(select min(account_id) as a from txn) z"
-_INGESTED = "'{account}' as account_id, strftime(ts, '%d-%m-%Y') as date, amount, direction, narration as description"
 _COLUMNS = ("account_id", "date", "amount", "direction", "description")
 _READ = ("account_id", "date", "amount", "direction", "description", "payment_method", "counterparty_identifier", "counterparty_bank", "is_reversal")
+_INGESTED = "select account_id, strftime(ts, '%d-%m-%Y') as date, amount, direction, narration as description from txn"
 
 
-def _lines(spark, d, head: list[str], row, name: str) -> str:
-    """A statement of the first account, as text: head lines, then its rows; the folder it is in."""
-    t = views.view(spark, d, "txn")
-    first = t.agg(F.min("account_id").alias("a"))
-    t = t.join(F.broadcast(first), F.col("account_id") == F.col("a"))
+def _statements(spark, d, heads: dict[int, Callable], row, name: str) -> str:
+    """A statement of every account as a text file of its own: head lines, made from the account, then its rows; the folder they are in."""
+    t = views.view(spark, d, "txn").withColumn("amount_text", F.col("amount").cast("string"))
     date = F.date_format("ts", "dd-MM-yyyy")
-    debit, credit = (F.when(F.col("direction") == side, F.col("amount").cast("string")).otherwise("") for side in ("DEBIT", "CREDIT"))
-    body = t.select(F.lit(len(head)).alias("k"), row(date, F.col("narration"), debit, credit).alias("value"))
-    top = spark.createDataFrame(list(enumerate(head)), "k int, value string")
-    path = f"{shared_dir(spark)}/tallyweave/statement-{name}-{uuid.uuid4().hex}"
-    top.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    debit, credit = (F.when(F.col("direction") == side, F.col("amount_text")).otherwise("") for side in ("DEBIT", "CREDIT"))
+    body = t.select("account_id", F.lit(len(heads)).alias("k"), row(date, F.col("narration"), debit, credit).alias("value"))
+    top = t.select("account_id").distinct().select("account_id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), make(F.col("account_id")).alias("value")) for k, make in heads.items()])).alias("x")).select("account_id", "x.*")
+    path = f"{run_dir(spark)}/statement-{name}-{uuid.uuid4().hex}"
+    rows = top.unionByName(body).repartition("account_id").sortWithinPartitions("account_id", "k")
+    rows.select("value", F.col("account_id").alias("of")).write.partitionBy("of").text(path)
     return path
 
 
 def _ingested(spark, path: str):
-    parsed = statements.parse(spark, path, {".txt": statements.text_statement, ".csv": statements.text_statement})
-    return statements.transactions(parsed)
+    return statements.transactions(statements.parse(spark, path, {".txt": statements.text_statement, ".csv": statements.text_statement}))
 
 
-@query(f"select {_INGESTED.format(account='123456789012')} from txn, {_ONE} where account_id = a")
+@query(_INGESTED)
 def ingest_bank_metadata(spark, d):
-    head = ["Some Bank", "Statement of Account No - 123456789012", statements.BANK_HEADER]
+    heads = {0: lambda a: F.lit("Some Bank"), 1: lambda a: F.concat(F.lit("Statement of Account No - "), a), 2: lambda a: F.lit(statements.BANK_HEADER)}
     row = lambda date, text, debit, credit: F.concat_ws(",", date, F.lit("-"), F.concat(F.lit('"'), text, F.lit('"')), debit, credit, F.lit("0,001"))
-    return _ingested(spark, _lines(spark, d, head, row, "bank")).select(*_COLUMNS)
+    return _ingested(spark, _statements(spark, d, heads, row, "bank")).select(*_COLUMNS)
 
 
-@query(f"select {_INGESTED.format(account='998877')} from txn, {_ONE} where account_id = a")
+@query(_INGESTED)
 def ingest_tabular(spark, d):
-    head = ["998877\tsavings", "\t".join(("TRAN-DATE", "CHQ-NUM", "TRAN\\_PARTICULAR", "WITHDRAWAL", "DEPOSIT", "BALANCE"))]
+    names = "\t".join(("TRAN-DATE", "CHQ-NUM", "TRAN\\_PARTICULAR", "WITHDRAWAL", "DEPOSIT", "BALANCE"))
+    heads = {0: lambda a: F.concat(a, F.lit("\tsavings")), 1: lambda a: F.lit(names)}
     row = lambda date, text, debit, credit: F.concat_ws("\t", date, F.lit(""), F.replace(text, F.lit(":"), F.lit("\\:")), debit, credit, F.lit("0"))
-    return _ingested(spark, _lines(spark, d, head, row, "tab")).select(*_COLUMNS)
+    return _ingested(spark, _statements(spark, d, heads, row, "tab")).select(*_COLUMNS)
 
 
 @query(_EXTRACT_SQL.replace("(select narration,", "(select account_id, ts, amount, direction, narration,").replace("select narration, m as payment_method, ref as transaction_reference,", "select account_id, strftime(ts, '%d-%m-%Y') as date, amount, direction, narration as description, m as payment_method,")
        .replace("label as counterparty_label, upi as counterparty_upi,", "").replace("case when m in ('UPI', 'IMPS') and colon then ca end as counterparty_account,", "").replace("name as counterparty_name, ", ""))
 def ingest_icore(spark, d):
     t = views.view(spark, d, "txn")
-    path = f"{shared_dir(spark)}/tallyweave/statement-core-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/statement-core-{uuid.uuid4().hex}"
     side = lambda s: F.when(F.col("direction") == s, F.col("amount"))
     t.select(
         F.col("account_id").alias("Ac_No"), F.lit("someone").alias("Ac_Name"), F.col("l_orderkey").alias("Tran_ID"), F.date_format("ts", "dd-MM-yyyy").alias("Tran_Date"), F.col("narration").alias("Narration"),
         side("DEBIT").alias("Dr_Amt"), side("CREDIT").alias("Cr_Amt"), F.lit(0.0).alias("Balance"), F.lit("").alias("pstd_dt"), F.lit("T").alias("Tran_Type"),
     ).write.option("header", "true").csv(path)
-    return _ingested(spark, path).select(*_READ)
+    return statements.transactions(statements.core_table(spark, path)).select(*_READ)
 
 
 @query("select 'row' as kind, count(*) as n from txn union all select node_type, count(*) from (select distinct case when src like 'ACC:%' then 'account' else 'counterparty' end as node_type, src from edge union select distinct case when dst like 'ACC:%' then 'account' else 'counterparty' end, dst from edge) x group by node_type")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import features, graph, iforest, metrics, model, rings, rules
+from ..operators import features, graph, iforest, metrics, model, plain, rings, rules
 from ..session import materialize
 from ..sources import sinks
 
@@ -48,22 +48,19 @@ def _stack(named) -> DataFrame:
     return materialize(functools.reduce(DataFrame.unionByName, (s.select(F.lit(m).alias("method"), "node_id", "score") for m, s in named)), "scores")
 
 
-def slice_table(scores: DataFrame, records: DataFrame, by_prefix: str = "SYN:") -> DataFrame:
+def slice_table(scores: DataFrame, records: DataFrame) -> DataFrame:
     """method, ring_type, tier (null: all) and the metrics, each slice against all real nodes.
 
-    Every node is labelled for all slices it belongs to in one explode, so all
-    slices and methods are evaluated in one plan.
+    The real nodes of a method are ranked once and every slice is read off the
+    places of its own members among them, so rows are not multiplied by slices.
     """
     own = metrics.members(records).select("node_id", "ring_type", "tier")
     none = F.lit(None).cast("string")
-    kinds = records.select("ring_type").distinct().select("ring_type", none.alias("tier"))
-    tiers = records.select("tier").distinct().select(none.alias("ring_type"), "tier")
-    slices = kinds.unionByName(tiers).unionByName(records.select(none.alias("ring_type"), none.alias("tier")).distinct())
-    of = own.select("node_id", F.explode(F.array(F.struct("ring_type", none.alias("tier")), F.struct(none.alias("ring_type"), "tier"), F.struct(none.alias("ring_type"), none.alias("tier")))).alias("s")).select("node_id", "s.*").distinct()
-    pos = scores.join(F.broadcast(of), "node_id").withColumn("label", F.lit(1))  # members of a few rings
-    real = scores.join(F.broadcast(own.select("node_id").distinct()), "node_id", "left_anti").crossJoin(F.broadcast(slices)).withColumn("label", F.lit(0))  # a dozen slices
-    rows = materialize(pos.unionByName(real, allowMissingColumns=True), "slices")
-    return materialize(metrics.compute_metrics(rows, by=["method", "ring_type", "tier"]), "metrics")
+    slices = F.array(F.struct("ring_type", none.alias("tier")), F.struct(none.alias("ring_type"), "tier"), F.struct(none.alias("ring_type"), none.alias("tier")))
+    of = own.select("node_id", F.explode(slices).alias("s")).select("node_id", "s.*").distinct()
+    placed = metrics.located(scores, own, ["method"])
+    rows = placed.join(F.broadcast(of), "node_id")  # members of a few rings
+    return materialize(metrics.located_metrics(rows, ["method", "ring_type", "tier"]), "metrics")
 
 
 def one_seed(edges: DataFrame, nodes: DataFrame, seed: int, per_cell: int, epochs: int, hidden: int, embed: int, rate: float, forest_on: str = "z") -> DataFrame:
@@ -97,6 +94,30 @@ def contributions(per_seed: DataFrame, column: str = "pr_auc") -> DataFrame:
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def benchmark(edges: DataFrame, nodes: DataFrame, seeds: tuple[int, ...] = SEEDS, **options) -> list[dict]:
+    """The evaluation of the combined score, one dictionary a seed."""
+    options = DEFAULTS | options
+    edges, nodes = materialize(edges, "edges"), materialize(nodes, "nodes")
+    runs = []
+    for seed in seeds:
+        e, n, records = rings.inject(edges, nodes, options["per_cell"], seed)
+        e, n = materialize(e, "edges"), materialize(n, "nodes")
+        trained, feats = fit_graph(e, n, seed, options["epochs"], options["hidden"], options["embed"], options["rate"])
+        emb = materialize(model.embed(trained, e, feats), "embeddings")
+        scores = materialize(metrics.combine_scores(model.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", seed)), "scores")
+        runs.append(metrics.evaluate_recovery(scores, records) | {"seed": seed, "loss": trained.losses[-1], "first_loss": trained.losses[0], "n_edges": e.count()})
+    return runs
+
+
+def aggregate_runs(spark: SparkSession, runs: list[dict]) -> dict:
+    """Means and deviations over seeds of the whole and of each type and tier; a few rows."""
+    names = ("roc_auc", "core_auc", "precision_at_n", "loss")
+    rows = spark.createDataFrame([tuple(r[c] for c in names) for r in runs], ", ".join(f"{c} double" for c in names))
+    cells = spark.createDataFrame([(c["ring_type"], c["tier"], c["mean_percentile"]) for r in runs for c in r["benchmark"]], "ring_type string, tier string, mean_percentile double")
+    out = metrics.mean_std(rows, [], list(names)).first().asDict()
+    return out | {"seeds": [r["seed"] for r in runs], "benchmark": [r.asDict() for r in metrics.mean_std(cells, ["ring_type", "tier"], ["mean_percentile"]).orderBy("ring_type", "tier").collect()]}
+
+
 def heldout(edges: DataFrame, nodes: DataFrame, held: str, seed: int, per_cell: int = 10, epochs: int = 200, hidden: int = 64, embed: int = 32, rate: float = 0.02) -> DataFrame:
     """Train on the other types, score the held-out type forward only, against a forest on raw features; with the number of shared synthetic ids."""
     (e, n, r), (te, tn, tr) = rings.heldout_split(materialize(edges, "edges"), materialize(nodes, "nodes"), held, per_cell, seed)
@@ -123,14 +144,6 @@ def seen_and_unseen(unseen: DataFrame, seen: DataFrame, column: str = "pr_auc_me
     return a.join(b, "held_out_type").select("held_out_type", "seen", "unseen")
 
 
-def format_table(rows: DataFrame, title: str, columns: tuple[str, ...] = ("method", "ring_type", "tier"), values: tuple[str, ...] = VALUES) -> str:
-    """A small table as text, means with deviations in percent."""
-    got = sorted((r.asDict() for r in rows.collect()), key=lambda r: [str(r[c] or "") for c in columns])
-    cell = lambda r, v: "-" if r[f"{v}_mean"] is None else f"{100 * r[f'{v}_mean']:.1f} ± {100 * (r[f'{v}_std'] or 0):.1f}"
-    lines = [title, " | ".join((*columns, *values))]
-    return "\n".join(lines + [" | ".join([*(str(r[c] or "all") for c in columns), *(cell(r, v) for v in values)]) for r in got])
-
-
 def hardest_rings(records: DataFrame) -> DataFrame:
     """For each type the ring to show: of the hardest tier, the first."""
     rank = F.when(F.col("tier") == "hard", 2).when(F.col("tier") == "medium", 1).otherwise(0)
@@ -150,25 +163,52 @@ def ring_subgraph(edges: DataFrame, scores: DataFrame, ring: DataFrame, nodes: D
 def run_pipeline(spark: SparkSession, txns: DataFrame, out: str, seed: int = 42, **options) -> dict:
     """Transactions to artifacts under ``out``; the summary that is also written as JSON."""
     options = DEFAULTS | options
-    began = time.time()
+    took, began = {}, time.time()
+
+    def done(stage: str) -> None:
+        nonlocal began
+        took[stage], began = time.time() - began, time.time()
+
     edges, nodes = materialize(graph.build_edges(txns), "edges"), materialize(graph.build_nodes(txns), "nodes")
     e, n, records = rings.inject(edges, nodes, options["per_cell"], seed)
     e, n = materialize(e, "edges"), materialize(n, "nodes")
+    done("graph")
     trained, feats = fit_graph(e, n, seed, options["epochs"], options["hidden"], options["embed"], options["rate"])
+    done("training")
     emb = materialize(model.embed(trained, e, feats), "embeddings")
     scores = materialize(metrics.combine_scores(model.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", seed)), "scores")
+    done("scores")
     found = metrics.evaluate_recovery(scores, records)
+    done("evaluation")
     sinks.write_csv(features.node_features(e, n), f"{out}/node_features")
     sinks.write_graph(n, e, f"{out}/graph")
     sinks.write_embeddings(emb, f"{out}/embeddings")
     sinks.write_scores(metrics.rank_normalize(scores), f"{out}/anomaly_scores")
     sinks.write_model(spark, trained, f"{out}/model")
-    sinks.write_text(spark, "\n".join(f"{k}: {v}" for k, v in found.items()), f"{out}/evaluation_report")
+    from . import reports
+
+    sinks.write_text(spark, reports.recovery_text(found), f"{out}/evaluation_report")
     for r in hardest_rings(records).select("ring_type").collect():
         one = hardest_rings(records).filter(F.col("ring_type") == r.ring_type)
         who, inside = ring_subgraph(e, scores, one, n)
         who.write.mode("overwrite").parquet(f"{out}/subgraphs/{r.ring_type}/nodes")
         inside.write.mode("overwrite").parquet(f"{out}/subgraphs/{r.ring_type}/edges")
-    summary = {"counts": graph.graph_report(txns).first().asDict(), "losses": trained.losses, "evaluation": found, "seconds": time.time() - began}
+    done("artifacts")
+    summary = {"counts": graph.graph_report(txns).first().asDict(), "losses": trained.losses, "evaluation": found, "options": options | {"seed": seed}, "seconds": took}
     sinks.write_json(spark, summary, f"{out}/run_summary")
     return summary
+
+
+def run_plain(spark: SparkSession, txns: DataFrame, out: str, seed: int = 0, n_rings: int = 12, epochs: int = 200, hidden: int = 64, embed: int = 32, rate: float = 0.01) -> dict:
+    """The first version of the pipeline, with its defaults: plain rings, the undirected model, recovery without cores and tiers."""
+    e, n, records = rings.inject_plain(graph.build_edges(txns), graph.build_nodes(txns), n_rings, seed)
+    e, n = materialize(e, "edges"), materialize(n, "nodes")
+    feats = materialize(features.scale_features(features.node_features(e, n)), "features")
+    trained = plain.train(e, feats, list(features.COLUMNS), epochs, rate, hidden, embed, seed)
+    emb = materialize(plain.embed(trained, e, feats), "embeddings")
+    scores = materialize(metrics.combine_scores(plain.reconstruction_scores(e, emb), iforest.isolation_scores(emb, "z", seed)), "scores")
+    whole, each = plain.recovery(scores, records)
+    sinks.write_scores(metrics.rank_normalize(scores), f"{out}/anomaly_scores")
+    found = whole.first().asDict() | {"per_ring": [r.asDict() for r in each.orderBy("ring_id").collect()], "losses": trained.losses}
+    sinks.write_json(spark, found, f"{out}/run_summary")
+    return found

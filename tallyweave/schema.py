@@ -24,11 +24,6 @@ TRANSACTION = _fields(
 )
 
 #: What a parser reads from a file, before the narration is analysed.
-RAW = _fields(
-    "transaction_id string, account_id string, date string, time string, amount double, direction string, balance double, "
-    "transaction_type string, description string, source_file string, source_format string, file_seq bigint, txn_seq bigint"
-)
-
 NODE = _fields("node_id string, node_type string, label string, bank string, is_synthetic boolean, node_seq bigint")
 
 EDGE = _fields(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -42,19 +44,37 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests on one machine)."""
+    """The cluster's shared folder; a temporary one only where none is set and all of Spark is this machine.
+
+    Elsewhere a folder of one machine would lose rows without a word, so it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tallyweave-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder; :func:`clean` removes it."""
+    return f"{shared_dir(spark)}/tallyweave/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.  Losing an executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyweave/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this application has written to the shared folder; results that still read them end with it."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import narration, scalars
 from ..operators.order import numbered
 from ..schema import TRANSACTION
-from ..session import ship
+from ..session import materialize, ship
 from . import workbook
 
 SUPPORTED = (".csv", ".xlsx", ".xls")
@@ -48,7 +48,7 @@ def layout(lines: list[str]) -> str:
         return "ICORE"
     if BANK_HEADER in head.replace(" ", ""):
         return "BANK_METADATA"
-    if "\t" in head and all(w in head for w in TAB_WORDS):
+    if all(w in head for w in TAB_WORDS[:2]):
         return "TABULAR"
     return "UNKNOWN"
 
@@ -150,8 +150,12 @@ def _parser(readers: dict[str, Callable]) -> Callable:
 
 def parse(spark: SparkSession, root: str, readers: dict[str, Callable] | None = None) -> DataFrame:
     """Status rows and raw rows of every file under ``root``; ``file_seq`` follows the sorted paths."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), readers)
+
+
+def parse_files(files: DataFrame, readers: dict[str, Callable] | None = None) -> DataFrame:
+    """The same for files at hand: path, content."""
+    ship(files.sparkSession)
     order = numbered(files.select("path"), ["path"], "file_seq")
     return files.select("path", "content").join(order, "path").select("file_seq", "path", "content").mapInArrow(_parser(readers or READERS), _DDL)
 
@@ -196,10 +200,31 @@ def transactions(parsed: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(transactions, report) of a directory."""
-    parsed = parse(spark, root)
+    parsed = materialize(parse(spark, root), "parsed")  # both read it; files are parsed once
     return transactions(parsed), report(parsed)
 
 
+def core_table(spark: SparkSession, root: str) -> DataFrame:
+    """Core exports (a header row, the account on every row) of any size under ``root``, as :func:`parse` gives them.
+
+    The CSV reader splits large files, so none is held in memory; quoted line
+    breaks are the one thing that needs :func:`parse`.
+    """
+    read = spark.read.option("header", "true").option("ignoreLeadingWhiteSpace", "true").option("recursiveFileLookup", "true").option("quote", '"').option("escape", '"').csv(root)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"))
+    rows = materialize(read.select("*", F.col("_metadata.file_path").alias("_path"), place.alias("_at")), "core-rows")
+    paths = numbered(rows.select("_path").distinct(), ["_path"], "file_seq")
+    rows = numbered(rows, ["_path", "_at"], "_row").join(paths, "_path")
+    said = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    has = lambda c, v: v if c in read.columns else F.lit(None).cast("string")
+    put = {
+        "file_seq": F.col("file_seq"), "file": F.element_at(F.split("_path", "/"), -1), "status": F.lit("row"), "row": F.col("_row"), "transaction_id": has("Tran_ID", said("Tran_ID")), "account_id": F.col("Ac_No"),
+        "date": F.col("Tran_Date"), "time": has("pstd_dt", said("pstd_dt")), "debit": F.col("Dr_Amt"), "credit": F.col("Cr_Amt"), "balance": has("Balance", F.col("Balance")),
+        "transaction_type": has("Tran_Type", said("Tran_Type")), "description": F.col("Narration"), "format": F.lit("csv"),
+    }
+    return rows.select(*[put.get(f.name, F.lit(None)).cast("bigint" if f.type == pa.int64() else "string").alias(f.name) for f in _OUT])
+
+
 def checkpoints(spark: SparkSession, root: str, per_type: int = 5) -> DataFrame:
     """JSON results of held-out runs; each held-out type must have ``per_type`` of them."""
     rows = spark.read.option("multiLine", "true").json(root)

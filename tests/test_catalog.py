@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
-from tallyweave.plans import catalog
+from tallyweave.plans import catalog, catalog_studies  # noqa: F401
 
 from . import oracle
 from .conftest import SMALL

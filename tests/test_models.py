@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import graph, iforest, metrics, model, rings
-from tallyweave.plans import catalog, study, views
+from tallyweave.operators import descent, graph, iforest, metrics, model, order, plain, rings
+from tallyweave.plans import catalog, reports, study, views
 from tallyweave.session import materialize
-from tallyweave.sources import sinks
+from tallyweave.sources import sinks, statements
 
 from .conftest import SMALL
 
@@ -79,6 +79,106 @@ def test_distributed_embedding_equals_the_dense_formula(spark):
         assert all(0 < r.p < 1 for r in p)
 
 
+def test_distributed_gradients_equal_the_driver(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"n{a}", f"n{b}", float(rng.integers(1, 99))) for a, b in rng.integers(0, 12, (40, 2)) if a != b]
+    edges = spark.createDataFrame(rows, "src string, dst string, amount double")
+    names = [f"n{k:d}" for k in range(13)]  # the last has no edge
+    x = rng.normal(size=(13, 3))
+    feats = spark.createDataFrame([(n, *map(float, v)) for n, v in zip(names, x, strict=True)], "node_id string, a double, b double, c double")
+    weights = {k: w.astype(np.float64) for k, w in model.new_weights(3, 6, 4, 1).items()}
+    pairs = [(names[i], names[j], int(y)) for i, j, y in zip(rng.integers(0, 13, 30), rng.integers(0, 13, 30), rng.integers(0, 2, 30), strict=True)]
+    loss, grad = descent.gradients(weights, *descent.prepared(edges, feats, ["a", "b", "c"]), spark.createDataFrame(pairs, "i string, j string, y int"), len(pairs))
+    place = {n: k for k, n in enumerate(names)}
+    inputs = {"self": x}
+    for c in model.CHANNELS:
+        m = np.zeros((13, 13))
+        for r in graph.directed_channels(edges).filter(F.col("channel") == c).collect():
+            m[place[r.i], place[r.j]] = r.w
+        inputs[c] = m @ x
+    s = np.eye(13)
+    for r in graph.degree_norm(graph.adjacency(edges)).collect():
+        s[place[r.i], place[r.j]] = r.w
+    row, col = np.nonzero(s)
+    sym = model.Sparse(row, col, s[row, col], 13)
+    i, j, y = (np.array([f(p[k]) for p in pairs]) for k, f in ((0, place.get), (1, place.get), (2, float)))
+    want_loss, want = model.gradients(weights, inputs, sym, model.forward(weights, inputs, sym), i, j, y)
+    assert loss == pytest.approx(want_loss, rel=1e-5)
+    for k in want:
+        np.testing.assert_allclose(grad[k], want[k], rtol=1e-3, atol=1e-6)
+    m = model.train(edges, feats, ["a", "b", "c"], most_pairs=5, epochs=3, hidden=4, embed=3)
+    assert len(m.losses) == 3 and set(m.weights) == set(weights)
+
+
+def test_negative_pairs_fill_their_count(spark, real):
+    for per in (1, 3):
+        got = graph.negative_pairs(*real, per_positive=per)
+        positive = graph.positive_pairs(real[0]).count()
+        n = real[1].count()
+        free = n * (n - 1) - graph.adjacency(real[0]).filter("i != j").count()
+        assert got.count() == got.distinct().count() == min(per * positive, free)
+    dense = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    nodes = spark.createDataFrame([(x, k) for k, x in enumerate("abcd")], "node_id string, node_seq int")
+    assert {(r.i, r.j) for r in graph.negative_pairs(dense, nodes, 9).collect()} == {(a, b) for a in "abcd" for b in "abcd" if abs(ord(a) - ord(b)) > 1}
+    rng = np.random.default_rng(0)
+    i, j = model.negatives(rng, 50, np.sort(np.array([3, 60])), 500)
+    assert len(i) == 500 and (i != j).all() and not np.isin(i * 50 + j, [3, 60]).any()
+    full = np.array([a * 3 + b for a in range(3) for b in range(3) if a != b])
+    assert len(model.negatives(rng, 3, full, 4)[0]) == 0 and len(model.negatives(rng, 3, full[:-1], 4)[0]) == 4
+
+
+def test_plain_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    s = rng.random((9, 9))
+    s = s + s.T
+    row, col = np.nonzero(s)
+    sym = model.Sparse(row, col, s[row, col], 9)
+    w = {"w0": rng.normal(size=(4, 5)), "w1": rng.normal(size=(5, 3)) * 0.1}
+    sx = s @ rng.normal(size=(9, 4)) * 0.1
+    i, j, y = rng.integers(0, 9, 12), rng.integers(0, 9, 12), rng.integers(0, 2, 12).astype(float)
+    _, grad = plain.gradients(w, sx, sym, i, j, y)
+    for k in w:
+        up, down = ({**w, k: w[k] + d * (np.arange(w[k].size).reshape(w[k].shape) == 3)} for d in (1e-6, -1e-6))
+        slope = (plain.gradients(up, sx, sym, i, j, y)[0] - plain.gradients(down, sx, sym, i, j, y)[0]) / 2e-6
+        assert grad[k].ravel()[3] == pytest.approx(slope, rel=1e-3, abs=1e-6)
+
+
+def test_medians_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"k{int(rng.integers(0, 6)) ** 2 // 6}", float(rng.integers(0, 30))) for _ in range(500)] + [("one", 4.0), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for most in (10**6, 20, 0):
+        got = {r.k: (r.m, r.top) for r in order.medians(df, ["k"], "v", most, top=F.max("v")).collect()}
+        assert got == {k: (float(np.median(v)), max(v)) for k in {r[0] for r in rows} for v in [[x for j, x in rows if j == k]]}
+
+
+def test_running_totals_in_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if g == 3 else int(g), int(x), int(y)) for g, x, y in rng.integers(0, 4, (300, 3))]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "g int, x int, y int, k int")
+    got = order.running(df, ["x", "k"], {"t": F.col("y")}, ["g"]).collect()
+    for r in got:
+        assert r.t == sum(b[2] for k, b in enumerate(rows) if b[0] == r.g and (b[1], k) <= (r.x, r.k))
+    assert len(got) == 300
+
+
+def test_located_metrics_equal_the_stacked_form(spark):
+    rng = np.random.default_rng(6)
+    scores = spark.createDataFrame([(m, f"n{k}", float(rng.integers(0, 12))) for m in "ab" for k in range(90)], "method string, node_id string, score double")
+    slices = [("x", f"n{k}") for k in range(0, 20)] + [("y", f"n{k}") for k in range(15, 40)]
+    of = spark.createDataFrame(slices, "s string, node_id string")
+    rows = metrics.located(scores, of, ["method"]).join(of, "node_id")
+    got = {(r.method, r.s): r.asDict() for r in metrics.located_metrics(rows, ["method", "s"]).collect()}
+    real = scores.join(of.select("node_id").distinct(), "node_id", "left_anti")
+    stacked = scores.join(of, "node_id").withColumn("label", F.lit(1)).unionByName(real.crossJoin(of.select("s").distinct()).withColumn("label", F.lit(0)))
+    want = metrics.compute_metrics(stacked, by=["method", "s"]).collect()
+    assert len(want) == len(got) == 4
+    for r in want:
+        mine = got[r.method, r.s]
+        for k, v in r.asDict().items():
+            assert mine[k] == pytest.approx(v) if isinstance(v, float) else mine[k] == v, k
+
+
 def test_forest_finds_outliers(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(v) for v in (rng.normal(size=4) + (12 if k < 5 else 0))]) for k in range(400)]
@@ -104,6 +204,14 @@ def test_rings(spark, real):
     assert e.filter((F.col("src") == chain.nodes[0]) & (F.col("dst") == chain.nodes[1])).count() == 0
 
 
+def test_partners_come_from_the_whole_graph(spark, real):
+    nodes = real[1].unionByName(spark.createDataFrame([(f"CP:X{k}", "counterparty", "x", None, False, 10**9 + k) for k in range(3000)], real[1].schema))
+    e, _, _ = rings.inject(real[0], nodes, per_cell=20, seed=5)
+    ends = e.filter("is_synthetic").select(F.explode(F.array("src", "dst")).alias("n")).filter("n not like 'SYN:%'").distinct().count()
+    assert ends > 600  # a sample of 500 nodes could not
+    assert e.filter("is_synthetic").select("parsed_date").distinct().count() > 250
+
+
 def test_heldout_is_disjoint(real):
     (te, tn, tr), (he, hn, hr) = rings.heldout_split(*real, "cycle", per_cell=1)
     assert {x.ring_type for x in tr.collect()} == set(rings.TYPES) - {"cycle"} and {x.ring_type for x in hr.collect()} == {"cycle"}
@@ -120,10 +228,19 @@ def test_pipeline_and_study(spark, real, tmp_path):
     rows = study.over_seeds(*real, seeds=(1,), per_cell=1, epochs=5, hidden=8, embed=4)
     assert rows.select("method").distinct().count() == 4
     assert rows.filter("ring_type is null and tier is null").count() == 4 and rows.count() == 4 * (1 + 5 + 3)
-    assert "GNN" in study.format_table(study.aggregate(rows), "all") and study.contributions(rows).count() == 4
+    assert study.contributions(rows).filter("n_seeds = 1").count() == 4 and rows.filter("roc_auc is null or pr_auc is null").count() == 0
+    assert "GNN+IF" in reports.write_ablation(spark, rows, str(tmp_path / "out"), {})
+    assert {r.ring_type for r in statements.seen_results(spark, str(tmp_path / "out/ablation_results")).collect()} == set(rings.TYPES)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out/ablation_pr_auc_by_tier")).count() == 12
+    runs = study.benchmark(*real, seeds=(1, 2), per_cell=1, epochs=3, hidden=8, embed=4)
+    assert "mule_chain" in reports.write_benchmark(spark, runs, str(tmp_path / "out"), {"seeds": [1, 2]})
+    plain_run = study.run_plain(spark, views.transactions(spark, SMALL), str(tmp_path / "plain"), epochs=5, hidden=8, embed=4)
+    assert 0 <= plain_run["roc_auc"] <= 1 and len(plain_run["per_ring"]) == 12
 
 
-def test_heldout_study(real):
+def test_heldout_study(real, tmp_path):
     rows = study.heldout(*real, "fan_in", 1, per_cell=1, epochs=3, hidden=8, embed=4)
     assert {r.overlap for r in rows.collect()} == {0}
     assert study.aggregate_heldout(rows).filter("tier is null").count() == 2
+    text = reports.write_heldout(rows.sparkSession, rows, str(tmp_path / "out"), {}, None)
+    assert "fan_in" in text and "training and test: 0" in text
