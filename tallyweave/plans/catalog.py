@@ -110,12 +110,13 @@ def degree_norm(spark, d):
 
 
 @query(_CHANNELS + """, x as (select node, cast(count(*) as double) as degree, max(amount) as biggest from inc group by node)
-select channel, i, round(sum(w * degree), 4) as degree, round(sum(w * biggest), 2) as biggest from ch join x on ch.j = x.node group by channel, i""")
+select channel, i, round(sum(w * degree) + 1e-7, 4) as degree, round(sum(w * biggest) + 1e-7, 2) as biggest from ch join x on ch.j = x.node group by channel, i""")
 def propagate_features(spark, d):
     e = views.edges(spark, d)
     x = graph.incidence(e).groupBy("node").agg(F.count("*").cast("double").alias("degree"), F.max("amount").alias("biggest"))
     out = graph.propagate(graph.directed_channels(e), x, ["degree", "biggest"], "node")
-    return out.select("channel", "i", F.round("degree", 4).alias("degree"), F.round("biggest", 2).alias("biggest"))
+    # exact halves (shares of a few) go up whatever the order of the sums
+    return out.select("channel", "i", F.round(F.col("degree") + 1e-7, 4).alias("degree"), F.round(F.col("biggest") + 1e-7, 2).alias("biggest"))
 
 
 _HOP = "(select min(src) as s from edge)"
