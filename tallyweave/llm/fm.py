@@ -2,7 +2,9 @@
 
 A document's features are its words (hashed; sublinear counts of unit length)
 and one-hot bins of statistics of its structure (word length, symbols, capitals,
-repetition, ...) and of its size.  The score adds a bias, linear weights and all
+repetition, ...) and of its metadata: ``n_chars`` as the table states it, alone
+and against the text's true length (a row may lack it; labels, lang, source and
+doc_id are no metadata here).  The score adds a bias, linear weights and all
 pairwise interactions of rank ``RANK``, the latter in linear time as
 ``(|sum v x|^2 - sum |v x|^2) / 2``.  Weights are learned on the driver from at
 most SAMPLE labelled documents (those with the least hash of doc_id, a bounded
@@ -47,8 +49,9 @@ def held_out(divisor: int, rest: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor)) == rest, F.lit(False))
 
 
-def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row of the chunk, then row bounds (rows + 1), feature indices and values."""
+def features(texts: pa.Array, stated: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row of the chunk, then row bounds (rows + 1), feature indices and values; ``stated``: the lengths in the metadata."""
+    said = np.nan_to_num(stated.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False), nan=-1.0)
     for at, offs, raw in textkernel.chunks(texts, 1_000_000):
         w = textkernel.words(offs, raw)
         rows = w.rows
@@ -75,6 +78,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         stats = np.stack([
             np.log1p(n) / 10, length / many / 16, kinds_of / many, g2, totals[:, 0] / size * 1.5, totals[:, 1] / size * 4, totals[:, 2] / size * 4,
             totals[:, 3] / size * 5, np.log1p(lines) / 7, n / lines / 120, np.log1p(size) / 13,
+            *_stated(said[at : at + rows], size),
         ], axis=1)
         bins = np.clip((stats * BINS).astype(np.int64), 0, BINS - 1) + np.arange(stats.shape[1]) * BINS
         idx_w = (h >> np.uint64(64 - BITS)).astype(np.int64)
@@ -85,7 +89,13 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
         yield at, np.searchsorted(row[order], np.arange(rows + 1)), idx[order], val[order].astype(np.float32)
 
 
-SIZE = (1 << BITS) + 11 * BINS
+def _stated(said: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stated length, and the text's bytes for each stated character; the last bin where none is stated."""
+    known = said >= 0
+    return np.where(known, np.log1p(np.maximum(said, 0)) / 14, 1.0), np.where(known, np.minimum(size / np.maximum(said, 1) / 4, 0.9), 1.0)
+
+
+SIZE = (1 << BITS) + 13 * BINS
 
 
 def raw_scores(model: tuple, bound: np.ndarray, idx: np.ndarray, val: np.ndarray) -> np.ndarray:
@@ -132,9 +142,14 @@ def fit(bound: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, epoc
 @textkernel.releasing
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, bound, idx, val in features(batch.column(1)):
+        for at, bound, idx, val in features(batch.column(1), batch.column(2)):
             lists = lambda x: pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(x))  # noqa: B023,E731
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bound) - 1), lists(idx.astype(np.int32)), lists(val)], names=["y", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bound) - 1), lists(idx.astype(np.int32)), lists(val)], names=["y", "idx", "val"]).append_column("o", batch.column(3).slice(at, len(bound) - 1))
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    stated = F.col("n_chars").cast("bigint") if "n_chars" in docs.columns else F.lit(None).cast("bigint")
+    return docs.select("doc_id", "text", stated.alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
@@ -142,8 +157,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     common.ship(docs.sparkSession)
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(4, 2))
     chosen = chosen.groupBy(F.col("doc_id").alias("_d")).agg(F.max("quality").cast("int").alias("y")).orderBy(F.xxhash64("_d"), "_d").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d"))  # bounded by ``sample``
-    got = rows.select("y", "text", F.xxhash64("_d").alias("o")).orderBy("o", "text").drop("o").limit(2 * sample).mapInArrow(_rows, "y int, idx array<int>, val array<float>").toArrow()
+    rows = _with_length(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_d"))  # bounded by ``sample``
+    rows = rows.select("y", "text", "n_chars", F.xxhash64("_d", F.col("text")).alias("o"), F.xxhash64("_d").alias("_p"))
+    # of repeated rows one is enough, and of ids with many texts so many; hashes are sorted, texts stay where they are
+    keys = rows.select("_p", "o").distinct().orderBy("_p", "o").limit(2 * sample).select(F.col("o").alias("_o")).distinct()
+    rows = rows.join(F.broadcast(keys), F.col("o") == F.col("_o")).select("y", "text", "n_chars", "o")
+    got = rows.mapInArrow(_rows, "y int, idx array<int>, val array<float>, o bigint").toArrow().sort_by("o")
+    _, once = np.unique(got["o"].to_numpy(), return_index=True)
+    got = got.take(once)
     if not got.num_rows:
         return fit(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.zeros(0))
     lens = pa.compute.list_value_length(got["idx"]).to_numpy()
@@ -159,14 +180,14 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
     @textkernel.releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, bound, idx, val in features(batch.column(1)):
+            for at, bound, idx, val in features(batch.column(1), batch.column(2)):
                 z = raw_scores(shared.value, bound, idx, val).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(z)), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
+    rows = _with_length(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "n_chars").mapInArrow(run, "doc_id bigint, score double")
     return rows.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents", "doc_id", "text")
+    docs = common.read(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     return score(docs, train(docs, common.read(spark, sf_dir, "labels", "doc_id", "quality")))

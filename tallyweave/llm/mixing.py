@@ -128,8 +128,8 @@ def mix(docs: DataFrame) -> DataFrame:
     out = rows.join(common.small(once, n_once), same).select("_row", "_x")
     if n_again:
         keys = again.select("_s", "_k").distinct()
-        number = F.row_number().over(Window.partitionBy("_src", "_key").orderBy(F.lit(1)))
-        equal = rows.join(common.small(keys, n_again), same, "left_semi").withColumn("_n", number)
+        equal = rows.join(common.small(keys, n_again), same, "left_semi").withColumn("_u", F.monotonically_increasing_id())
+        equal = numbered(equal, ["_u"], "_n", ["_src", "_key"])  # equal rows are exchangeable; however many, they stay in many tasks
         out = out.unionByName(equal.join(common.small(again, n_again), same & (F.col("_n") == F.col("_c"))).select("_row", "_x"))
     out = out.withColumn("_x", F.explode("_x"))
     own = {"mix_pass": F.col("_x.k"), "mix_taken": F.col("_x.t"), "mix_position": F.col("_x.p")}

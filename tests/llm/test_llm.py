@@ -621,8 +621,67 @@ def test_forward_backward_equals_enumeration():
     np.testing.assert_allclose(crf._marginals_only(score, mask, trans)[:, 0], want, atol=1e-5)
 
 
+def test_spans_label_words_like_whole_chains(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang")
+    model = crf.train(docs)
+    long = [" ".join(r.text for r in docs.filter(f"pmod(doc_id, 25) = {k}").orderBy("doc_id").limit(12).collect()) for k in range(4)]
+    for trans in (model[2], 2.5 * np.eye(len(model[0]))):  # as learned, and far stiffer ones
+        ((_, offs, raw),) = textkernel.chunks(pa.array(long), 1 << 30)
+        w = textkernel.words(offs, raw)
+        monkeypatch.setattr(crf, "SPAN", 128)
+        cut = crf.label_words((model[0], model[1], trans), w)
+        monkeypatch.setattr(crf, "SPAN", 1 << 30)
+        whole = crf.label_words((model[0], model[1], trans), w)
+        assert len(cut) > 5000 and np.abs(cut - whole).max() < 1e-3 and (cut.argmax(axis=1) == whole.argmax(axis=1)).all()
+
+
+def test_metadata_counts(spark):
+    import pyarrow as pa
+
+    texts, stated = pa.array(["some words here", "some words here", None]), pa.array([15, None, 3], pa.int64())
+    ((_, bound, idx, val),) = fm.features(texts, stated)
+    a, b = (set(idx[bound[k] : bound[k + 1]]) for k in range(2))
+    assert a != b and len(a ^ b) == 4 and len(bound) == 4 and idx.max() < fm.SIZE
+    docs = spark.createDataFrame([(1, "x y z", 5, "s", "p")], "doc_id long, text string, n_chars long, score string, predicted string")
+    assert fm.score(docs, fm.fit(np.zeros(1, dtype=int), np.zeros(0, dtype=int), np.zeros(0), np.zeros(0))).first().score == 0.5
+
+
 # all
 
+def results(spark, docs, items):
+    """What the joins of the operators give, in comparable form."""
+    out = {
+        "quality": [(r.doc_id, r.kept, r.removed_share) for r in quality.judge(docs).collect()], "filtered": [(r.doc_id, r.text) for r in quality.filter_documents(docs).collect()],
+        "components": [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()], "deduplicated": [(r.doc_id, r.text) for r in jaccard.deduplicate(docs).collect()],
+        "leaks": [(r.doc_id, r.item_id, r.common) for r in decontaminate.leaks(docs, items).collect()], "clean": [(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, items).collect()],
+        "mix": [(r.doc_id, r.mix_pass, r.mix_taken, r.mix_position) for r in mixing.mix(docs).collect()],
+    }
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def test_shuffled_joins_give_what_broadcasts_give(spark, docs, monkeypatch):
+    items = spark.createDataFrame([(1, some_docs()[3][1]), (2, " ".join(some_docs()[30][1].split()[:20]))], "item_id int, text string")
+    want = results(spark, docs, items)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(common, "small", lambda df, rows, limit=0: df)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert results(spark, docs, items) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_many_equal_rows_are_mixed_apart(spark):
+    rows = [(1, "one two three four five six", "a")] * 200 + [(2, "seven eight nine ten", "b")] * 3
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+    got = [(r.doc_id, r.mix_pass, r.mix_taken) for r in out.collect()]
+    want = [(w[0], k, w[3 + k]) for w in brute.mix(rows) for k in (1, 2) if w[3 + k]]
+    assert sorted(got) == sorted(want)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
@@ -644,15 +703,17 @@ def test_nothing_to_learn_from(spark, docs):
 
 
 def test_pipeline_equals_brute_force(spark):
-    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect()]
+    before = dict(r[:2] for r in rows)
     kept = brute.quality(rows, quality.LINE_DOCS, quality.LINE_SHARE, quality.DEPLETED_SHARE, quality.LEFT_WORDS)
     rows = [(i, t, s) for (i, _, s), (k, t) in zip(rows, kept, strict=True) if k]
+    assert sum(before[i] != t for i, t, _ in rows) > 50  # lines are removed
     rows = [r for r, (_, c) in zip(rows, brute.components([r[:2] for r in rows]), strict=True) if r[0] == c]
     bad = {x[0] for x in brute.leaks([r[:2] for r in rows], items)}
     rows = [(i, brute.redact(t, [(s, e) for s, _, e, _ in brute.secrets(t)]), s) for i, t, s in rows if i not in bad]
     want = sorted((w[0], k, w[3 + k]) for w in brute.mix(rows) for k in (1, 2) if w[3 + k])
-    got = corpus_pipeline.run(spark, SMALL).collect()
+    got = corpus_pipeline.run(spark, MIDDLE).collect()
     assert sorted((r.doc_id, r.mix_pass, r.mix_taken) for r in got) == want
     assert {r.doc_id: r.text for r in got} == {i: t for i, t, _ in rows if i in {r.doc_id for r in got}}
 
@@ -664,3 +725,14 @@ def test_stages_keep_the_columns(spark):
         out = common.materialize(stage(spark, docs, SMALL), "stage")
         assert out.columns == docs.columns
         docs = out
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_documents(spark, docs, empty):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names; and no rows at all."""
+    now = docs.filter("false") if empty else docs.unionByName(spark.createDataFrame([(None,) * 8, (201, "w " * 30000, None, None, None, None, None, None)], DOCS))
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.materialize(stage(spark, now, SMALL), "odd")
+        assert out.columns[: len(docs.columns)] == docs.columns and (empty or out.count() > 10), name
+        now = out
+    assert now.columns[len(docs.columns) :] == ["mix_pass", "mix_taken", "mix_position"]
