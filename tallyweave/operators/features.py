@@ -21,25 +21,28 @@ def node_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The 19 COLUMNS for every node, with node_id, node_type, label and is_synthetic.
 
     Sums run in decimal, so they do not depend on the order of rows.  Distinct
-    counts are exact and pre-aggregate; banks come by an equi-join of the
-    neighbour.
+    counts are exact: the values of all four kinds are stacked, made distinct
+    (which pre-aggregates) and counted, so no buffer holds a hub's values; banks
+    come by an equi-join of the distinct neighbours.
     """
     rows = incidence(edges)
-    banks = nodes.select(F.col("node_id").alias("other"), F.nullif(F.col("bank"), F.lit("")).alias("_bank"))
-    rows = rows.join(banks, "other", "left")
     money = F.col("amount").cast("decimal(18,4)")
     side = lambda d: F.coalesce(F.sum(F.when(F.col("direction") == d, money)), F.lit(0)).cast("double")
-    day = F.to_date("parsed_date")
-    some = lambda c: F.size(F.collect_set(c)).cast("bigint")  # noqa: E731  of banks, methods and days there are few; one distinct count needs no expansion of rows
     agg = rows.groupBy("node").agg(
         F.count("*").alias("degree"), F.count_if(F.col("direction") == "IN").alias("in_degree"), F.count_if(F.col("direction") == "OUT").alias("out_degree"),
         side("IN").alias("total_amount_in"), side("OUT").alias("total_amount_out"), F.avg("amount").alias("mean_amount"),
-        F.stddev_pop("amount").alias("std_amount"), F.max("amount").alias("max_amount"),
-        F.count_distinct("other").alias("unique_counterparties"), some("_bank").alias("unique_banks"),
-        some("payment_method").alias("unique_payment_methods"), F.count_if("is_reversal").alias("reversal_count"),
-        some(day).alias("active_days"), F.min("parsed_date").alias("_a"), F.max("parsed_date").alias("_b"),
+        F.stddev_pop("amount").alias("std_amount"), F.max("amount").alias("max_amount"), F.count_if("is_reversal").alias("reversal_count"),
+        F.min("parsed_date").alias("_a"), F.max("parsed_date").alias("_b"),
         F.count("parsed_date").alias("_dated"), F.count_if(scalars.is_weekend(F.col("parsed_date"))).alias("_weekend"),
     )
+    kind = lambda k, v: F.struct(F.lit(k).alias("k"), F.col(v).cast("string").alias("v") if isinstance(v, str) else v.alias("v"))
+    values = rows.select("node", F.explode(F.array(kind("o", "other"), kind("m", "payment_method"), kind("d", F.to_date("parsed_date").cast("string")))).alias("x"))
+    values = values.select("node", "x.*").filter("v is not null").distinct()
+    banks = nodes.select(F.col("node_id").alias("v"), F.nullif(F.col("bank"), F.lit("")).alias("_bank")).filter("_bank is not null")
+    held = values.filter("k = 'o'").join(banks, "v").select("node", F.lit("b").alias("k"), F.col("_bank").alias("v")).distinct()
+    of = lambda k: F.count_if(F.col("k") == k)
+    counts = values.unionByName(held).groupBy(F.col("node").alias("_node")).agg(of("o").alias("unique_counterparties"), of("b").alias("unique_banks"), of("m").alias("unique_payment_methods"), of("d").alias("active_days"))
+    agg = agg.join(counts, F.col("node") == F.col("_node"), "left").drop("_node")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     out = nodes.join(agg, nodes["node_id"] == agg["node"], "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("degree", "in_degree", "out_degree", "unique_counterparties", "unique_banks", "unique_payment_methods", "reversal_count", "active_days")}

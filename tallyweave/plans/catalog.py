@@ -42,6 +42,11 @@ def _inc(spark, d):
     return graph.incidence(views.edges(spark, d))
 
 
+def _written(spark, d):
+    """Edges and nodes, each written once for a plan that reads them more than once."""
+    return materialize(views.edges(spark, d), "edges"), materialize(views.nodes(spark, d), "nodes")
+
+
 def _events(spark, d):
     """Events by event type: busy nodes with real times of day."""
     e = views.event_edges(spark, d)
@@ -160,7 +165,7 @@ _ROUNDED = {"total_amount_in": 2, "total_amount_out": 2, "net_flow": 2, "mean_am
 
 @query(_FEATURES + "select node_id, " + ", ".join(f"round({'total_amount_in - total_amount_out' if c == 'net_flow' else c}, {_ROUNDED[c]}) as {c}" if c in _ROUNDED else c for c in features.COLUMNS) + " from f")
 def node_features_raw(spark, d):
-    out = features.node_features(views.edges(spark, d), views.nodes(spark, d))
+    out = features.node_features(*_written(spark, d))
     return out.select("node_id", *[F.round(c, _ROUNDED[c]).alias(c) if c in _ROUNDED else c for c in features.COLUMNS])
 
 
@@ -174,7 +179,7 @@ def _scaled_sql() -> str:
 
 @query(_scaled_sql())
 def node_features_scaled(spark, d):
-    out = features.scale_features(features.node_features(views.edges(spark, d), views.nodes(spark, d)))
+    out = features.scale_features(features.node_features(*_written(spark, d)))
     return out.select("node_id", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in features.COLUMNS])
 
 
