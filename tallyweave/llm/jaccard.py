@@ -256,10 +256,12 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     found = common.materialize(join(docs), "components")
     keys = found.filter(F.col("n_shingles") > 0).groupBy("doc_id", "t", "component_id").agg(F.count("*").alias("_rows"))
-    lead = keys.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("t").alias("_lead")).withColumnRenamed("component_id", "_c")
-    keys = keys.filter(F.col("component_id").isNotNull()).join(lead, F.col("component_id") == F.col("_c"))
-    goes = (F.col("doc_id").isNull()) | (F.col("doc_id") != F.col("component_id")) | (F.col("t") != F.col("_lead"))
-    marks = common.materialize(keys.select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"), goes.alias("_goes"), "_rows").filter("_goes or _rows > 1"), "marks")
+    # only rows whose id names their component can stay: all others go by themselves, so copies never meet by component
+    own = keys.filter(F.col("doc_id") == F.col("component_id"))
+    lead = own.groupBy("component_id").agg(F.min("t").alias("_lead")).withColumnRenamed("component_id", "_c")
+    own = own.join(lead, F.col("component_id") == F.col("_c")).withColumn("_goes", F.col("t") != F.col("_lead")).select("doc_id", "t", "_goes", "_rows")
+    rest = keys.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "t", F.lit(True).alias("_goes"), "_rows")
+    marks = common.materialize(own.unionByName(rest).withColumnsRenamed({"doc_id": "_d", "t": "_u"}).filter("_goes or _rows > 1"), "marks")
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_t"))
     rows = rows.join(common.small(marks, marks.count()), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u")), "left").filter("not coalesce(_goes, false)")
     once = rows.filter("_rows is null").select("_row.*")
