@@ -244,3 +244,12 @@ def test_heldout_study(real, tmp_path):
     assert study.aggregate_heldout(rows).filter("tier is null").count() == 2
     text = reports.write_heldout(rows.sparkSession, rows, str(tmp_path / "out"), {}, None)
     assert "fan_in" in text and "training and test: 0" in text
+
+
+def test_embedding_keeps_double_precision(spark):
+    edges = spark.createDataFrame([("a", "b", 3.0)], "src string, dst string, amount double")
+    feats = spark.createDataFrame([("a", 16777217.0), ("b", 0.1)], "node_id string, f double")  # 2^24 + 1 has no single-precision form
+    one = np.ones((1, 1), dtype=np.float32)
+    m = model.Model({c: one * (c == "self") for c in model.CHANNELS} | {"self": one, "w2": one, "q": one, "k": one}, ["f"], [])
+    got = {r.node_id: r.z[0] for r in model.embed(m, edges, feats).collect()}
+    assert got["a"] == pytest.approx((16777217.0 + 0.1) / 2, rel=1e-12)
