@@ -127,23 +127,37 @@ _OUT = pa.schema([("file_seq", pa.int64()), ("file", pa.string()), ("status", pa
 _DDL = "file_seq bigint, file string, status string, error_type string, error string, " + ", ".join(f"`{f}` {'bigint' if f == 'row' else 'string'}" for f in FIELDS)
 
 
+#: Rows that a parser gathers before it hands them on, over as many files as it takes.
+BATCH_ROWS = 8192
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _OUT], schema=_OUT)
+
+
 def _parser(readers: dict[str, Callable]) -> Callable:
+    def read(seq: int, path: str, content: pa.Scalar) -> list[dict]:
+        name = path.rsplit("/", 1)[-1]
+        stem, dot, suffix = name.rpartition(".")
+        head = {"file_seq": seq, "file": name}
+        reader = readers.get(dot + suffix.lower())
+        if reader is None:
+            return [head | {"status": "skipped"}]
+        try:
+            return [*(head | {"status": "row"} | r for r in reader(content.as_py(), stem)), head | {"status": "ingested"}]
+        except Exception as e:  # noqa: BLE001  one bad file must not end the batch
+            return [head | {"status": "failed", "error_type": type(e).__name__, "error": str(e)[:80]}]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for seq, path, content in zip(*(batch.column(k) for k in range(3)), strict=True):
-                name = path.as_py().rsplit("/", 1)[-1]
-                stem, dot, suffix = name.rpartition(".")
-                head = {"file_seq": seq.as_py(), "file": name}
-                reader = readers.get(dot + suffix.lower())
-                if reader is None:
-                    rows = [head | {"status": "skipped"}]
-                else:
-                    try:
-                        rows = [head | {"status": "row"} | r for r in reader(content.as_py(), stem)]
-                        rows.append(head | {"status": "ingested"})
-                    except Exception as e:  # noqa: BLE001  one bad file must not end the batch
-                        rows = [head | {"status": "failed", "error_type": type(e).__name__, "error": str(e)[:80]}]
-                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in _OUT} for r in rows], schema=_OUT)
+                rows += read(seq.as_py(), path.as_py(), content)
+                if len(rows) >= BATCH_ROWS:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
     return run
 

@@ -91,3 +91,39 @@ def test_json_sources_and_sinks(spark, tmp_path):
     assert {r.ring_type: r.pr_auc_mean for r in statements.seen_results(spark, str(tmp_path / "ab.json")).collect()} == {"cycle": 0.5, "fan_in": 0.25}
     sinks.write_json(spark, {"a": 1}, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first().value) == {"a": 1}
+
+
+def test_small_files_share_batches():
+    import pyarrow as pa
+
+    book = xlsx({"one": [["Tran Date", "Particulars", "Txn_Amt", "Cod_DrCr", "Balance"], ["06-01-2024", "shop", "70", "C", "1"]]})
+    paths = [f"x/{k}.{'csv' if k % 2 else 'xlsx'}" for k in range(100)] + ["x/bad.xlsx"]
+    contents = [BANK.encode() if k % 2 else book for k in range(100)] + [b"no workbook"]
+    files = pa.RecordBatch.from_pydict({"file_seq": list(range(101)), "path": paths, "content": contents})
+    got = list(statements._parser(statements.READERS)(iter([files])))
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(got) == 1  # a batch for each file before
+    assert [r["file_seq"] for r in rows if r["status"] == "ingested"] == list(range(100)) and rows[-1]["error_type"] == "BadZipFile"
+    assert sum(r["status"] == "row" for r in rows) == 50 * 5 + 50
+
+
+@pytest.mark.parametrize("cells", [["Tran Date", "Particulars", "Debit", "Balance"], ["Value Date", "Narration", "Credit"], ["Tran Date", "Particulars", "Amount", "x"], ["Date", "", None, "Desc"], ["06-01-2024", "shop", "70"], ["Desc", "Debit", "Balance"], [" dr/cr ", "txn  dt", "amount", "my remarks"]])
+def test_header_score_counts_the_columns_found(cells):
+    found = {role for role, at in workbook.columns(cells).items() if at is not None}
+    there = [any(found.issuperset(roles) for roles in group) for group in workbook.SCORED]
+    want = sum(there) if all(there[k] for k in workbook.NEEDED) and sum(there) >= workbook.LEAST_SCORE and sum(bool(workbook.norm(c)) for c in cells) >= 3 else 0
+    assert workbook.header_score(cells) == want
+
+
+def test_statements_are_a_table_of_one_file_an_account(spark):
+    from pyspark.sql import functions as F
+
+    from tallyweave.plans import catalog, catalog_studies, views
+
+    from .conftest import SMALL
+
+    accounts = views.view(spark, SMALL, "txn").select("account_id").distinct().count()
+    heads = {0: lambda a: F.concat(F.lit("account "), a)}  # before, a folder of an own file for each account
+    files = catalog._statements(spark, SMALL, heads, lambda *c: F.concat_ws(",", *c))
+    assert files.columns == ["path", "content"] and files.count() == files.select("path").distinct().count() == accounts
+    assert catalog_studies._workbooks(spark, SMALL).count() == accounts
