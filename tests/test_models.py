@@ -253,3 +253,56 @@ def test_embedding_keeps_double_precision(spark):
     m = model.Model({c: one * (c == "self") for c in model.CHANNELS} | {"self": one, "w2": one, "q": one, "k": one}, ["f"], [])
     got = {r.node_id: r.z[0] for r in model.embed(m, edges, feats).collect()}
     assert got["a"] == pytest.approx((16777217.0 + 0.1) / 2, rel=1e-12)
+
+
+def test_packed_descent_equals_the_driver(spark):
+    from tallyweave.operators import packed
+
+    rng = np.random.default_rng(9)
+    rows = [(f"n{a}", f"n{b}", float(rng.integers(1, 99))) for a, b in rng.integers(0, 30, (90, 2))] + [("n1", "n2", 1.0), ("n2", "n1", 1.0), ("n3", "n3", 2.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, amount double")
+    names = [f"n{k}" for k in range(31)]  # the last has no edge
+    feats = spark.createDataFrame([(n, *map(float, v)) for n, v in zip(names, rng.normal(size=(31, 3)), strict=True)], "node_id string, a double, b double, c double")
+    p = packed.pack(edges, feats, 20)
+    assert p.n_buckets == 5 and p.count == len({r[:2] for r in rows})
+    place = {r.node_id: r.idx for r in p.index.collect()}
+    pattern = np.eye(31)
+    for a, b, _ in rows:
+        pattern[place[a], place[b]] = pattern[place[b], place[a]] = 1
+    d = pattern.sum(axis=1)
+    row, col = np.nonzero(pattern)
+    sym = model.Sparse(row, col, 1 / np.sqrt(d[row] * d[col]), 31)
+    root = packed.degree_roots(p)
+    np.testing.assert_allclose(root, 1 / np.sqrt(d))
+    made = descent.node_inputs(edges, feats, ["a", "b", "c"]).join(p.index.withColumnRenamed("node_id", "node"), "node")
+    inputs = {c: np.zeros((31, 3)) for c in packed.INPUTS}
+    for r in made.collect():
+        for c in inputs:
+            inputs[c][r.idx] = r[c]
+    weights = {k: w.astype(np.float64) for k, w in model.new_weights(3, 6, 4, 1).items()}
+    loss, grad = packed.gradients(p, made, root, weights, 5, 2)
+    taken = {(place[a], place[b]) for a, b, _ in rows}
+    i, j, y = [], [], []
+    for b, code in ((r.b, np.array(r.code)) for r in p.buckets.collect()):
+        pi, pj = code // 31, code % 31
+        a, c = packed.negatives(np.random.default_rng((5, 2, b)), 31, 5, b, np.union1d(code, pj * 31 + pi), len(code))
+        assert len(a) == len(code) and not {*zip(a, c, strict=True)} & (taken | {(v, u) for u, v in taken}) and (a != c).all() and ((a + c) % 5 == b).all()
+        i, j, y = i + [*pi, *a], j + [*pj, *c], y + [1.0] * len(pi) + [0.0] * len(a)
+    i, j, y = np.array(i), np.array(j), np.array(y)
+    want_loss, want = model.gradients(weights, inputs, sym, model.forward(weights, inputs, sym), i, j, y)
+    assert loss == pytest.approx(want_loss, rel=1e-5)
+    for k in want:
+        np.testing.assert_allclose(grad[k], want[k], rtol=1e-3, atol=1e-6)
+    few = dict(epochs=2, hidden=4, embed=3)
+    a, b = (descent.fit(edges, feats, ["a", "b", "c"], **few, **more) for more in ({}, {}))
+    assert a.losses == pytest.approx(b.losses)
+    assert len(descent.fit(edges, feats, ["a", "b", "c"], **few, most_cells=0).losses) == 2  # states joined
+
+
+def test_packed_negatives_are_even_where_pairs_are_few():
+    from tallyweave.operators import packed
+
+    rng = np.random.default_rng(0)
+    i, j = packed.negatives(rng, 1000, 7, 3, np.array([5], dtype=np.int64), 20_000)
+    assert ((i + j) % 7 == 3).all() and (i != j).all() and np.bincount(i // 100).min() > 1700 and np.bincount(j // 100).min() > 1700
+    assert not len(packed.negatives(rng, 2, 1, 0, np.array([1, 2], dtype=np.int64), 4)[0])
