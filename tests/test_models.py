@@ -306,3 +306,27 @@ def test_packed_negatives_are_even_where_pairs_are_few():
     i, j = packed.negatives(rng, 1000, 7, 3, np.array([5], dtype=np.int64), 20_000)
     assert ((i + j) % 7 == 3).all() and (i != j).all() and np.bincount(i // 100).min() > 1700 and np.bincount(j // 100).min() > 1700
     assert not len(packed.negatives(rng, 2, 1, 0, np.array([1, 2], dtype=np.int64), 4)[0])
+
+
+@pytest.mark.parametrize("run", [lambda e, n: study.heldout(e, n, "cycle", 1, per_cell=1, epochs=1, hidden=4, embed=2), lambda e, n: study.over_seeds(e, n, seeds=(1,), per_cell=1, epochs=1, hidden=4, embed=2)])
+def test_a_study_does_not_copy_a_written_graph(spark, real, run):
+    from pathlib import Path
+
+    from tallyweave.session import run_dir
+
+    tables = lambda: {p for kind in ("edges", "graph", "nodes") for p in Path(run_dir(spark).removeprefix("file:")).glob(f"{kind}-*")}
+    before = tables()
+    assert run(*real).count() > 0 and tables() == before
+
+
+def test_training_and_embedding_share_the_sums_of_pairs(spark):
+    from pathlib import Path
+
+    from tallyweave.session import run_dir
+
+    edges = spark.createDataFrame([("a", "b", 3.0), ("b", "c", 5.0), ("a", "b", 2.0)], "src string, dst string, amount double")
+    feats = spark.createDataFrame([("a", 0.5), ("b", -1.0), ("c", 2.0)], "node_id string, f double")
+    tables = lambda: {*Path(run_dir(spark).removeprefix("file:")).glob("pair-sums-*")}
+    before = tables()
+    assert model.embed(model.train(edges, feats, ["f"], most_pairs=1, epochs=1, hidden=2, embed=2), edges, feats).count() == 3
+    assert len(tables() - before) == 1
