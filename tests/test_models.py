@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +331,47 @@ def test_training_and_embedding_share_the_sums_of_pairs(spark):
     before = tables()
     assert model.embed(model.train(edges, feats, ["f"], most_pairs=1, epochs=1, hidden=2, embed=2), edges, feats).count() == 3
     assert len(tables() - before) == 1
+
+
+def test_packed_features_embedding_and_surprise_equal_the_joined_forms(spark, real):
+    from tallyweave.operators import features
+
+    e, n, _ = rings.inject(*real, 1, 3)
+    again, cols = e.select("*"), list(features.COLUMNS)
+    a, b = features.of_graph(e, n), features.of_graph(again, n, 0)
+    x, y = (pd.DataFrame([r.asDict() for r in f.orderBy("node_id").collect()]) for f in (a, b))
+    assert list(x["node_id"]) == list(y["node_id"])
+    np.testing.assert_allclose(x[cols], y[cols], atol=1e-9)
+    m = model.Model(model.new_weights(len(cols), 4, 3, 1), cols, [])
+    one, two = (f(m, g, h) for f, g, h in ((model.embed, e, a), (lambda m, g, h: model.embed(m, g, h, 1), again, b)))
+    for c in ("z", "zq", "zk"):
+        u, v = ({r.node_id: r[c] for r in t.collect()} for t in (one, two))
+        assert u.keys() == v.keys() and all(u[k] == pytest.approx(v[k], rel=1e-9, abs=1e-9) for k in u)
+    u, v = ({r.node_id: r.score for r in model.reconstruction_scores(g, t).collect()} for g, t in ((e, one), (again, two)))
+    assert u == pytest.approx(v, abs=1e-9)
+
+
+def test_ended_exchanges_are_deleted(spark):
+    """A write's exchange goes with it, not when the driver next needs memory."""
+    import time
+
+    from tallyweave.session import materialize
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    materialize(spark.range(10))
+    before = files()
+    for _ in range(3):
+        materialize(spark.range(1000).repartition(8, "id"))
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before
+
+
+def test_numpy_adds_to_unpickled_states_fast():
+    import pickle
+
+    from tallyweave.operators import packed
+
+    x = pickle.loads(pickle.dumps(np.arange(4.0)))
+    assert packed.native(x).dtype is np.dtype(np.float64) and (packed.native(x) == x).all()
