@@ -375,3 +375,13 @@ def test_numpy_adds_to_unpickled_states_fast():
 
     x = pickle.loads(pickle.dumps(np.arange(4.0)))
     assert packed.native(x).dtype is np.dtype(np.float64) and (packed.native(x) == x).all()
+
+
+def test_rules_do_not_copy_written_edges(spark, real):
+    from pathlib import Path
+
+    from tallyweave.session import run_dir
+
+    tables = lambda: {*Path(run_dir(spark).removeprefix("file:")).glob("incidence-*")}
+    before = tables()
+    assert rules.combined(graph.incidence(real[0]), real[1], written=True).count() == real[1].count() and tables() == before
