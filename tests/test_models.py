@@ -380,6 +380,7 @@ def test_numpy_adds_to_unpickled_states_fast():
 def test_rules_do_not_copy_written_edges(spark, real):
     from pathlib import Path
 
+    from tallyweave.operators import rules
     from tallyweave.session import run_dir
 
     tables = lambda: {*Path(run_dir(spark).removeprefix("file:")).glob("incidence-*")}
